@@ -1,7 +1,9 @@
 """Toxicity by compression distance: one zstandard dictionary for toxic text, one for ordinary text.
 
-A text's windows are its words, each with the spaces around it (a longer window
-hides a word among its neighbours' bytes). A window's distance is the length that
+A text's windows are its words (a longer window hides a word among its
+neighbours' bytes). A word is written as three bytes for each of its own: the
+byte itself and two hashes of it with its neighbours, so that short words weigh
+more than a frame's overhead and chance matches are rare. A window's distance is the length that
 it compresses to with the ordinary dictionary less the length with the toxic
 one. The ordinary dictionary holds the words that come in most contexts of
 ordinary text, and after a first round the ordinary windows that it still lost
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import each, grams
+from .kernel import each, grams, words
 from .quality import labelled
 from .shared import text_of
 
@@ -32,7 +34,7 @@ CONTEXTS, RATIO = 4, 30.0
 #: Words of the ordinary dictionary.
 COMMON = 8_000
 LEVEL = 3
-REACH = np.arange(2, 9)
+REACH = np.array([3, 4, 5, 6, 7, 8, 10, 12, 15])
 THRESHOLD = 0.3
 #: Windows whose distance a task remembers.
 MEMORY = 1_000_000
@@ -42,10 +44,27 @@ def held_out(doc_id: str = "doc_id", of: int = 4, rest: int = 2):
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(of)) == rest
 
 
-def _compressor(words: list[bytes]):
+def coded(w) -> bytes:
+    """Three bytes for each byte of some Words: itself, and two hashes of it and its neighbours in its word."""
+    now = w.low.astype(np.uint32)
+    back, ahead = np.full_like(now, 32), np.full_like(now, 32)
+    back[1:], ahead[:-1] = now[:-1], now[1:]
+    back[w.starts], ahead[w.ends - 1] = 32, 32
+    mixed = (back << np.uint32(16) | now << np.uint32(8) | ahead) * np.uint32(0x85EBCA6B)
+    return np.stack([w.low, mixed >> np.uint32(16) & np.uint32(255), mixed >> np.uint32(24)], 1).astype(np.uint8).tobytes()
+
+
+def _coded_words(words_of: list[bytes]) -> list[bytes]:
+    raw = np.frombuffer(b" ".join(words_of), np.uint8)
+    w = words(raw, np.array([0, len(raw)]))
+    data = coded(w)
+    return [data[3 * a : 3 * b] for a, b in zip(w.starts.tolist(), w.ends.tolist(), strict=True)]
+
+
+def _compressor(words_of: list[bytes]):
     import zstandard as z
 
-    held = z.ZstdCompressionDict(b" " + b" ".join(words) + b" ", dict_type=z.DICT_TYPE_RAWCONTENT)
+    held = z.ZstdCompressionDict(b"".join(_coded_words(words_of)) or b" " * 8, dict_type=z.DICT_TYPE_RAWCONTENT)
     p = z.ZstdCompressionParameters.from_level(LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0, window_log=18, min_match=3, format=z.FORMAT_ZSTD1_MAGICLESS)
     held.precompute_compress(compression_params=p)
     return z.ZstdCompressor(dict_data=held, compression_params=p)
@@ -62,8 +81,8 @@ class Model:
         return self
 
     def distance(self, window: bytes) -> int:
-        x = b" " + window + b" "
-        return len(self._ordinary.compress(x)) - len(self._toxic.compress(x))
+        """How much shorter the toxic dictionary makes a coded window."""
+        return len(self._ordinary.compress(window)) - len(self._toxic.compress(window))
 
     def features(self, w) -> np.ndarray:
         """Per text: log of words, and for each distance in REACH the log of the windows that reach it, and whether one or two do."""
@@ -71,8 +90,8 @@ class Model:
         _, first, of = np.unique(w.hashes(), return_index=True, return_inverse=True)
         if len(self._known) > MEMORY:
             self._known = {}
-        data, known = w.low.tobytes(), self._known
-        said = [data[a:b] for a, b in zip(w.starts[first].tolist(), w.ends[first].tolist(), strict=True)]
+        data, known = coded(w), self._known
+        said = [data[3 * a : 3 * b] for a, b in zip(w.starts[first].tolist(), w.ends[first].tolist(), strict=True)]
         for x in said:
             if x not in known:
                 known[x] = self.distance(x)
@@ -120,8 +139,9 @@ def _dictionaries(toxic: pa.Array, ordinary: pa.Array) -> Model:
     order = np.lexsort((b, -m))
     common = [said_b[int(b[k])] for k in order[:COMMON]][::-1]
     model = Model(common, typical, np.zeros(2 + 3 * len(REACH))).ready()
+    met = [said_b[int(b[k])] for k in order[::-1]]
     for _ in range(2):
-        lost = [said_b[int(b[k])] for k in order[::-1] if model.distance(said_b[int(b[k])]) >= 3]
+        lost = [x for x, c in zip(met, _coded_words(met), strict=True) if model.distance(c) >= REACH[0]]
         model = Model(lost[-2000:] + model.ordinary, typical, model.weights).ready()
     return model
 
