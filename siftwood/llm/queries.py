@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_dedup, langid, media, mixing, near_dup, packing, quality, suffix_dedup, toxicity
+from . import chunk_dedup, langid, lm, media, mixing, near_dup, packing, quality, suffix_dedup, toxicity
 from .sources import table, tokenizer_path
 
 
@@ -38,6 +38,10 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.repeats(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op3_suffix_array_dedup, op4_packing, op5_language_id, op6_mixing, op7_media_columns, op9_substring_dedup, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op3_suffix_array_dedup, op4_packing, op5_language_id, op6_mixing, op7_media_columns, op8_lm_scoring, op9_substring_dedup, op10_quality_rules)}
 
 ORACLES = {
     "op1_minhash_near_dedup": r"""
