@@ -97,12 +97,12 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.bounds)
 
-    def hashes(self) -> np.ndarray:
-        """64-bit hashes of the words with A-Z in lower case."""
+    def hashes(self, exact: bool = False) -> np.ndarray:
+        """64-bit hashes of the words with A-Z in lower case, or of their exact bytes."""
         n = len(self.low)
         if not len(self.starts):
             return np.zeros(0, np.uint64)
-        coded = BYTE_CODE[self.low] * powers(_BASE, n)
+        coded = BYTE_CODE[self.raw if exact else self.low] * powers(_BASE, n)
         total = np.cumsum(coded, dtype=np.uint64)
         return mix((total[self.ends - 1] - total[self.starts] + coded[self.starts]) * powers(_INVERSE, n)[self.starts])
 

@@ -15,13 +15,14 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import WHITE, buffers, pieces, words
+from .kernel import buffers, pieces, words
 from .shared import text_of
 
 CAPACITY = 4096
@@ -31,7 +32,9 @@ SHARD = 1 << 22
 QUADRATIC = 1 / CAPACITY
 END = 2
 #: Distinct words that a task remembers the ids of.
-MEMORY = 400_000
+MEMORY = 3_000_000
+#: Parts of words that it remembers.
+PARTS = 500_000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -39,9 +42,10 @@ _encoders: dict[str, Encoder] = {}
 class Encoder:
     """Ids by a ``tokenizers`` file whose words don't depend on each other across white space.
 
-    Words between ASCII white space are encoded once and remembered; the ids of
-    a text are those of its words in order. Letters with punctuation behind
-    them are encoded as two parts, since the pre-tokenizer parts them as well.
+    Words between ASCII white space are encoded once and remembered by a 64-bit
+    hash of their bytes; the ids of a text are those of its words in order.
+    Letters with punctuation behind them are encoded as two parts, since the
+    pre-tokenizer parts them as well.
     """
 
     _parts = re.compile(rb"([A-Za-z\x80-\xff]+)([.,;:!?#$%&*|]+)")
@@ -50,13 +54,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.parts: dict[bytes, list[int]] = {}
         self.forget()
 
     def forget(self) -> None:
-        self.parts: dict[bytes, list[int]] = {}
-        self.known: dict[bytes, int] = {}
+        self.known = np.zeros(0, np.uint64)
+        self.place = np.zeros(0, np.int64)
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.bounds = np.zeros(1 << 16, np.int64)
+        self.bounds = np.zeros(1, np.int64)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -65,47 +70,50 @@ class Encoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def _learn(self, fresh: list[bytes]) -> None:
-        keys = []
+    def _encode_words(self, fresh: list[bytes]) -> list[list[int]]:
+        match, keys = self._parts.fullmatch, []
         for x in fresh:
-            m = self._parts.fullmatch(x)
-            keys.append((m[1].lower(), m[2]) if m and m[1].decode().isalpha() else (x,))
-        new = list(dict.fromkeys(k for key in keys for k in key if k not in self.parts))
+            m = match(x)
+            keys.append((m[1].lower(), m[2]) if m and m[1].decode().isalpha() else (x, None))
+        if len(self.parts) > PARTS:
+            self.parts = {}
+        parts = self.parts
+        new = list(dict.fromkeys(k for key in keys for k in key if k is not None and k not in parts))
         for a in range(0, len(new), 20_000):
             part = new[a : a + 20_000]
-            self.parts.update(zip(part, (e.ids for e in self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)), strict=True))
-        found = [self.parts[key[0]] if len(key) == 1 else self.parts[key[0]] + self.parts[key[1]] for key in keys]
-        flat = np.fromiter((i for x in found for i in x), np.uint32)
-        k = len(self.known)
-        n = int(self.bounds[k])
-        while n + len(flat) > len(self.ids):
+            parts.update(zip(part, [e.ids for e in self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)], strict=True))
+        return [parts[a] if b is None else parts[a] + parts[b] for a, b in keys]
+
+    def _learn(self, h: np.ndarray, fresh: list[bytes]) -> None:
+        found = self._encode_words(fresh)
+        upto = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        n = int(self.bounds[-1])
+        while n + int(upto[-1]) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while k + len(fresh) + 1 > len(self.bounds):
-            self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
-        self.ids[n : n + len(flat)] = flat
-        self.bounds[k + 1 : k + len(fresh) + 1] = n + np.cumsum([len(x) for x in found])
-        self.known.update(zip(fresh, range(k, k + len(fresh)), strict=True))
+        self.ids[n : n + int(upto[-1])] = np.fromiter(chain.from_iterable(found), np.uint32, int(upto[-1]))
+        at = np.searchsorted(self.known, h)
+        self.known = np.insert(self.known, at, h)
+        self.place = np.insert(self.place, at, np.arange(len(self.bounds) - 1, len(self.bounds) - 1 + len(h)))
+        self.bounds = np.concatenate([self.bounds, n + upto])
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of some texts, each with END behind, and the texts' bounds in them."""
         w = words(raw, offsets)
-        white = WHITE[raw]
-        # a word never runs over a text's end: split() sees the texts with a space between
-        joined = np.full(len(raw) + len(offsets), 32, np.uint8)
-        joined[np.arange(len(raw)) + np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))] = np.where(white, 32, raw)
-        said = joined.tobytes().split()
+        h, first, of = np.unique(w.hashes(exact=True), return_index=True, return_inverse=True)
         if len(self.known) > MEMORY:
             self.forget()
-        if fresh := [x for x in dict.fromkeys(said) if x not in self.known]:
-            self._learn(fresh)
-        at = np.fromiter(map(self.known.__getitem__, said), np.int64, len(said))
+        at = np.minimum(np.searchsorted(self.known, h), max(len(self.known) - 1, 0))
+        new = self.known[at] != h if len(self.known) else np.ones(len(h), bool)
+        if new.any():
+            data = raw.tobytes()
+            self._learn(h[new], [data[a:b] for a, b in zip(w.starts[first[new]].tolist(), w.ends[first[new]].tolist(), strict=True)])
+        at = self.place[np.searchsorted(self.known, h)][of]
         # END is one more word at each text's end
         n = np.insert(self.bounds[at + 1] - self.bounds[at], w.bounds[1:], 1)
-        begin = np.insert(self.bounds[at], w.bounds[1:], -1)
+        begin = np.insert(self.bounds[at], w.bounds[1:], 0)
         upto = np.concatenate([[0], np.cumsum(n)])
-        source = np.repeat(begin - upto[:-1], n) + np.arange(upto[-1])
+        ids = self.ids[np.repeat(begin - upto[:-1], n) + np.arange(upto[-1])]
         ends = upto[w.bounds[1:] + np.arange(1, len(offsets))]
-        ids = self.ids[np.maximum(source, 0)]
         ids[ends - 1] = END
         return ids, np.concatenate([[0], ends])
 
