@@ -11,9 +11,10 @@ Counts are taken over all training texts. A token's count comes back to the
 texts through blocks: a block of documents is joined with the distinct words it
 holds, not with every one of its tokens.
 
-Training: each task runs minibatches over its texts (in every round another of
-ROUNDS parts of the texts) from common parameters, and the parameters are
-averaged by the number of tokens seen. Scoring: for the distinct contexts of a
+Training: each batch of texts runs minibatches over one of PARTS parts of its
+texts (another one in every round) from common parameters, and the parameters
+are averaged by the number of tokens seen; so a fixed share of all texts is
+trained on, at every size. Scoring: for the distinct contexts of a
 block, a matrix product gives all classes' scores, and their log-sum normalises.
 """
 
@@ -37,6 +38,7 @@ NOISE = 64
 BATCH = 1024
 RATE = 0.25
 ROUNDS = 2
+PARTS = 8
 #: Rows of a block, within a task's input.
 BLOCK_BITS = 12
 CONTEXTS = 8192
@@ -195,7 +197,7 @@ def _words_by_block(rows: DataFrame) -> DataFrame:
             for k in np.unique(block):
                 mine = np.flatnonzero(block == k)
                 hs, rs, ns = [], [], []
-                for i, j, w in each(batch.column("text").slice(mine[0], len(mine)), 4 << 20):
+                for i, j, w in each(batch.column("text").slice(mine[0], len(mine))):
                     h, first, of = np.unique(w.hashes(), return_index=True, return_inverse=True)
                     n = np.bincount(of[train[mine[0] + i : mine[0] + j][w.rows()]], minlength=len(h))
                     hs.append(h)
@@ -236,7 +238,7 @@ def fit(rows: DataFrame, counts: DataFrame, core: int = CORE, rounds: int = ROUN
 
             local = Trainer(model, TaskContext.get().partitionId() * rounds + turn)
             train = np.flatnonzero(~batch.column("held_out").to_numpy(zero_copy_only=False))
-            for _, _, w in each(batch.column("text").take(pa.array(train[turn::rounds]))):
+            for _, _, w in each(batch.column("text").take(pa.array(train[turn::PARTS]))):
                 full, one, two, _ = model.sequence(w, w.hashes())
                 local.run(full, one, two)
             total[:-1] += local.params() * local.seen
@@ -257,40 +259,42 @@ def score(docs: DataFrame, core: int = CORE, rounds: int = ROUNDS) -> DataFrame:
     empty result.
     """
     rows = blocks(docs)
-    counts = cut(_words_by_block(rows).groupBy("hash").agg(F.min("rare").alias("rare"), F.sum("n").alias("c")).where("c > 0"), "counts")
+    words = cut(_words_by_block(rows), "words")
+    counts = cut(words.groupBy("hash").agg(F.min("rare").alias("rare"), F.sum("n").alias("c")).where("c > 0"), "counts")
     model = fit(rows, counts, core, rounds)
-    held = _words_by_block(rows).select("block", "hash").join(counts.select("hash", "c"), "hash").select("block", "hash", "c")
+    held = words.select("block", "hash").join(counts.select("hash", "c"), "hash").select("block", "hash", "c")
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         known = right.column("hash").to_numpy().view(np.uint64)
         order = np.argsort(known, kind="stable")
         known, c = known[order], right.column("c").to_numpy()[order]
+        sums = lambda v, b: np.diff(np.concatenate([[0.0], np.cumsum(v)])[b])
+        whole = model.tokens + 0.1 * (model.types + 1)
+        end = np.log10((model.docs + 0.1) / whole)
         parts: list[list[np.ndarray]] = [[], [], [], []]
-        for _, _, w in each(left.column("text").combine_chunks(), 8 << 20):
+        tokens: list[tuple[np.ndarray, ...]] = []
+        for _, _, w in each(left.column("text").combine_chunks()):
             h = w.hashes()
             full, one, two, bounds = model.sequence(w, h)
-            if len(known):
+            tokens.append((full.astype(np.int32), one.astype(np.int32), two.astype(np.int32), np.diff(bounds)))
+            n = np.zeros(len(h), np.int64)
+            if len(known) and len(h):
                 distinct, of = np.unique(h, return_inverse=True)
                 at = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
                 n = np.where(known[at] == distinct, c[at], 0)[of]
-            else:
-                n = np.zeros(len(h), np.int64)
-            own = full[full < model.classes - 1] if len(h) else np.zeros(0, np.int64)
-            rare = own - len(model.core)
+            rare = full[full < model.classes - 1].astype(np.int64) - len(model.core)
             share = np.zeros(len(h))
             r = rare >= 0
             share[r] = np.log10((n[r] + 0.1) / (model.rare_tokens[rare[r]] + 0.1 * (model.rare_types[rare[r]] + 1)))
-            whole = model.tokens + 0.1 * (model.types + 1)
-            base = np.log10((n + 0.1) / whole)
-            ends = np.log10((model.docs + 0.1) / whole)
-            sums = lambda v, b: np.diff(np.concatenate([[0.0], np.cumsum(v)])[b])
-            log = model.log_probabilities(full, one, two) / np.log(10)
             parts[0].append(w.counts + 1)
             parts[1].append(sums(n > 0, w.bounds).astype(np.int64) + (model.docs > 0))
-            parts[2].append(sums(base, w.bounds) + ends)
-            parts[3].append(sums(log, bounds) + sums(share, w.bounds))
+            parts[2].append(sums(np.log10((n + 0.1) / whole), w.bounds) + end)
+            parts[3].append(sums(share, w.bounds))
         v = [np.concatenate(x) if x else np.zeros(0) for x in parts]
+        if tokens:  # contexts of the whole block are normalised once
+            full, one, two, length = (np.concatenate(x) for x in zip(*tokens, strict=True))
+            v[3] = v[3] + sums(model.log_probabilities(full, one, two) / np.log(10), np.concatenate([[0], np.cumsum(length)]))
         cols = [left.column("doc_id").combine_chunks(), left.column("held_out").combine_chunks(), pa.array(v[0].astype(np.int64)), pa.array(v[1].astype(np.int64)), pa.array(np.full(left.num_rows, model.tokens)), pa.array(v[2]), pa.array(v[3])]
         return pa.Table.from_arrays(cols, names)
 
