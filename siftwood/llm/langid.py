@@ -137,6 +137,8 @@ class Model:
         """Viterbi labels of the words: texts are taken side by side, the longest first, a word of each at a time."""
         score = self.word_scores(t)
         n_lang = score.shape[1]
+        if not n_lang:
+            return np.zeros(len(score), np.int16)
         counts = t.w.counts
         order = np.argsort(-counts, kind="stable")
         start, left = t.w.bounds[:-1][order], counts[order]
@@ -158,7 +160,7 @@ class Model:
                 b = np.where(stay, b, jump[:, None])
             best[:m] = b + score[at]
         out = np.zeros(len(score), np.int16)
-        now = best.argmax(1) if n_lang else np.zeros(len(order), np.int64)
+        now = best.argmax(1)
         for k in range(longest - 1, -1, -1):
             m = live[k]
             at = start[:m] + k

@@ -180,7 +180,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         model = train(table.column("text").combine_chunks().fill_null("") if got else table.column("text").combine_chunks(), table.column("label").to_numpy())
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.ordinary, model.toxic, model.weights))], pa.binary())], ["model"])
 
-    return Model(*pickle.loads(known.select("text", "label").mapInArrow(run, "model binary").first()[0]))
+    row = known.select("text", "label").mapInArrow(run, "model binary").first()
+    # without a labelled row there may be no task at all
+    return Model(*pickle.loads(row[0])) if row else train(pa.array([], pa.string()), np.zeros(0, np.int32))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
