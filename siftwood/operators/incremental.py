@@ -33,7 +33,9 @@ def sessions(events: DataFrame, gap: str = "5 minutes", ts: str = "ts", item: st
     if watermark:
         events = events.withWatermark(ts, watermark)
     w = F.session_window(F.col(ts), gap)
-    return events.groupBy(w.alias("w")).agg(F.count("*").alias("n"), F.array_sort(F.collect_set(item)).alias("items")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "items")
+    # streams want a key beside the session; whether there is an item is the same for all but rows without one
+    keys = [w.alias("w"), F.col(item).isNull().alias("none")] if watermark else [w.alias("w")]
+    return events.groupBy(*keys).agg(F.count("*").alias("n"), F.array_sort(F.collect_set(item)).alias("items")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "items")
 
 
 def write_cache(found: DataFrame, path: str) -> None:

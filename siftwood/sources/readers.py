@@ -30,7 +30,7 @@ def excluded(path: Column, rules: tuple[str, ...]) -> Column:
 def looks_binary(content: Column) -> Column:
     """Whether the first 8192 bytes hold a NUL, or more than 30 % bytes that aren't text."""
     head = F.hex(F.substring(content, 1, SNIFF))
-    odd = F.regexp_count(head, F.lit("(?:[0-9A-F]{2})*?(?:0[0-6BE-F]|1[0-9AC-F]|7F)"))
+    odd = F.regexp_count(head, F.lit(r"\G(?:[0-9A-F]{2})*?(?:0[0-6BE-F]|1[0-9AC-F]|7F)"))
     return F.regexp_like(head, F.lit("^(?:[0-9A-F]{2})*00")) | (odd > 0.3 * F.length(head) / 2)
 
 
