@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, drop
+from .shared import cut, drop, files_for
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", files: int | None = None) -> DataFrame:
     """Nodes of ``edges`` with the smallest node that each can reach: (node, component).
 
     Alternates the large-star and the small-star operation until the edges no
@@ -16,10 +16,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     stays one round deep. A node with many edges is only ever reduced to its
     minimum, and joined with that one row.
     """
-    now = cut(_oriented(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))), "edges")
+    now = cut(_oriented(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))), "edges", files)
     said = _state(now)
     while said[0]:
-        new = cut(_small_star(_large_star(now)), "edges")
+        new = cut(_small_star(_large_star(now)), "edges", files_for(said[0]))
         drop(now)
         now, before = new, said
         said = _state(now)

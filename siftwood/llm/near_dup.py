@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .kernel import each, grams, lists
-from .shared import cut, drop, flat, groups, text_of
+from .shared import cut, files_for, flat, groups, text_of
 
 SHINGLE = 5
 PERCENT = 75
@@ -226,10 +226,12 @@ def near_duplicates(docs: DataFrame, k: int = K, n: int = SHINGLE) -> DataFrame:
     full = base.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
     nodes = full.join(classes.select("rep"), full.doc_id == F.col("rep"), "left_semi").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch")
-    rough = cut(estimated_links(nodes, k), "estimated")
-    clusters = cut(components(rough), "clusters")
-    exact = cut(exact_links(docs, clusters, nodes.select("node", "n").distinct(), n), "exact")
-    labels = components(exact)
+    # what follows has a row per node or link of a forest: few files hold it
+    few = files_for(base.count())
+    rough = cut(estimated_links(nodes, k), "estimated", few)
+    clusters = cut(components(rough, files=few), "clusters", few)
+    exact = cut(exact_links(docs, clusters, nodes.select("node", "n").distinct(), n), "exact", few)
+    labels = components(exact, files=few)
     plain = base.select("doc_id", "n_shingles", "s1", "s2")
     found = plain.join(classes, ["s1", "s2"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     found = found.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id")))

@@ -14,8 +14,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +32,9 @@ SHARD = 1 << 22
 QUADRATIC = 1 / CAPACITY
 END = 2
 #: Distinct words that a task remembers the ids of.
-MEMORY = 3_000_000
+MEMORY = 1_500_000
 #: Parts of words that it remembers.
-PARTS = 500_000
+PARTS = 250_000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -54,7 +54,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts: dict[bytes, list[int]] = {}
+        self.parts: dict[bytes, bytes] = {}
         self.forget()
 
     def forget(self) -> None:
@@ -70,7 +70,8 @@ class Encoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def _encode_words(self, fresh: list[bytes]) -> list[list[int]]:
+    def _encode_words(self, fresh: list[bytes]) -> list[bytes]:
+        """The words' ids, four bytes each."""
         match, keys = self._parts.fullmatch, []
         for x in fresh:
             m = match(x)
@@ -81,16 +82,16 @@ class Encoder:
         new = list(dict.fromkeys(k for key in keys for k in key if k is not None and k not in parts))
         for a in range(0, len(new), 20_000):
             part = new[a : a + 20_000]
-            parts.update(zip(part, [e.ids for e in self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)], strict=True))
+            parts.update(zip(part, [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)], strict=True))
         return [parts[a] if b is None else parts[a] + parts[b] for a, b in keys]
 
     def _learn(self, h: np.ndarray, fresh: list[bytes]) -> None:
         found = self._encode_words(fresh)
-        upto = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        upto = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) // 4
         n = int(self.bounds[-1])
         while n + int(upto[-1]) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[n : n + int(upto[-1])] = np.fromiter(chain.from_iterable(found), np.uint32, int(upto[-1]))
+        self.ids[n : n + int(upto[-1])] = np.frombuffer(b"".join(found), np.uint32)
         at = np.searchsorted(self.known, h)
         self.known = np.insert(self.known, at, h)
         self.place = np.insert(self.place, at, np.arange(len(self.bounds) - 1, len(self.bounds) - 1 + len(h)))

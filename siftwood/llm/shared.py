@@ -46,9 +46,19 @@ def _remove_all() -> None:
             return
 
 
-def cut(df: DataFrame, what: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends there, and a lost executor loses nothing."""
+def files_for(rows: int) -> int:
+    """Files for a table of so many small rows."""
+    return max(4, -(-rows // 200_000))
+
+
+def cut(df: DataFrame, what: str, files: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: the lineage ends there, and a lost executor loses nothing.
+
+    ``files`` bounds the number of files where the rows' number is known to be small.
+    """
     spark = df.sparkSession
+    if files:
+        df = df.coalesce(files)
     df.write.parquet(path := fresh(spark, what))
     out = spark.read.schema(df.schema).parquet(path)
     out._siftwood_path = path
