@@ -28,6 +28,7 @@ KEY = 8
 WINDOW = MIN_WORDS - KEY + 1
 #: Words of context on either side; the next minimiser covers what is beyond.
 REACH = MIN_WORDS - KEY
+THIN = 16
 _POSITION = np.uint64((1 << 28) - 1)
 
 
@@ -48,6 +49,13 @@ def minimisers(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     np.add.at(inside, bounds[:-1][full], 1)
     np.add.at(inside, bounds[1:][full] - MIN_WORDS + 1, -1)
     at = np.unique((least[np.cumsum(inside[:-1]) > 0] & _POSITION).astype(np.int64))
+    # where a text repeats few words over and over, neighbours share one key: a window of each end and every THIN-th between tell the same
+    follows = np.zeros(len(at), bool)
+    follows[1:] = (at[1:] - at[:-1] <= KEY) & (g[at[1:]] == g[at[:-1]])
+    first = np.flatnonzero(~follows)
+    length = np.diff(np.append(first, len(at)))
+    place = np.arange(len(at)) - np.repeat(first, length)
+    at = at[(place < WINDOW) | (place >= np.repeat(length, length) - WINDOW) | (place % THIN == 0)]
     return at, (g[at] >> np.uint64(1)).astype(np.int64)
 
 
@@ -181,6 +189,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     empty table gives an empty result.
     """
     often = suffixes(docs).groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
+    often = cut(often, "keys")  # read back, so that a hot key's side of the join can be split
     matched = suffixes(docs).join(often, "key", "left_semi")
     rows = cut(_contexts(matched, docs), "contexts")
     spans = _ordered(rows, "after").unionByName(_ordered(rows, "before"))
