@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import any_of, contains_any
+from ..functions.lineage import settled
 
 # fixed values: dead-symbol limits, and names that may go unused
 TOLERATED, REPORTED = 15, 10
@@ -84,16 +85,14 @@ def reach(edges: DataFrame, sources: DataFrame, most: int = 50) -> DataFrame:
     """(node, depth): what the sources (node) reach over edges (src, dst), and in how few steps.
 
     Breadth first: a round joins the new nodes only, and anti-joins those that
-    are known; the loop ends when a round finds none. Tables of small rounds
-    stay lazy; every eighth round is cut by a checkpoint, as are large ones.
+    are known; the loop ends when a round finds none. Each round is computed once.
     """
     known = sources.select("node").distinct().withColumn("depth", F.lit(0))
     front, depth = known.select("node"), 0
     while depth < most:
         depth += 1
         new = front.join(edges, front.node == edges.src).select(F.col("dst").alias("node")).distinct().join(known, "node", "left_anti")
-        if edges.sparkSession.sparkContext.getCheckpointDir():
-            new = new.checkpoint()
+        new = settled(new)
         if new.isEmpty():
             break
         known, front = known.unionByName(new.withColumn("depth", F.lit(depth))), new
@@ -111,4 +110,4 @@ def largest(files: DataFrame, n: int = 100) -> DataFrame:
     return files.select("path", F.octet_length("content").cast("long").alias("size")).orderBy(F.desc("size"), "path").limit(n)
 
 
-__all__ = ["Window", "dead_symbols", "divergent_handlers", "largest", "mixed_access", "pairwise_mismatch", "reach", "token_defs", "violations"]
+__all__ = ["dead_symbols", "divergent_handlers", "largest", "mixed_access", "pairwise_mismatch", "reach", "token_defs", "violations"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import values as V
 from ..functions.columns import contains_any, first_case, lookup
+from ..functions.lineage import settled
 from .classify import classified
 from .filters import severity_rank
 
@@ -57,21 +58,33 @@ def rank_order() -> list[Column]:
     return [F.desc("ranking_score"), F.asc("file_path"), F.asc_nulls_last("line_number"), F.asc("detected_by"), F.asc("pattern_type"), F.asc("id")]
 
 
-def positions(ranked: DataFrame, ranges: int = 64) -> DataFrame:
+def _key() -> Column:
+    """The order of ranks as one text: fixed-width numbers, and a sign below all letters between the parts."""
+    score = F.lpad((F.lit(1_000_000) - F.round(F.col("ranking_score") * 1_000_000)).cast("int").cast("string"), 7, "0")
+    line = F.lpad(F.coalesce("line_number", F.lit(2**31 - 1)).cast("string"), 10, "0")
+    return F.concat_ws("\x01", score, *(F.coalesce(c, F.lit("")) for c in ("file_path", line, "detected_by", "pattern_type", "id")))
+
+
+def positions(ranked: DataFrame, ranges: int = 64, sample: int = 20) -> DataFrame:
     """ranked with position (from 1) and percentile over all rows, without a global window.
 
-    Rows are dealt out by score ranges and numbered inside each; a range's
-    offset is the number of rows before it, from one row per range.
+    Bounds between ranges of the order come from a bounded sample (the keys of
+    least hash, ``sample`` a range). A row's range follows from its own values,
+    so any recomputation gives the same; rows are numbered inside their range,
+    and a range's offset is the number of rows before it, from one row per range.
     """
-    order = rank_order()
-    dealt = ranked.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id())
-    placed = dealt.withColumn("own", F.row_number().over(Window.partitionBy("range").orderBy(*order)))
-    sizes = placed.groupBy("range").agg(F.count("*").alias("n"))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("all", F.sum("n").over(Window.partitionBy()))
-    out = placed.join(F.broadcast(sizes.select("range", "before", "all")), "range")  # one row per range
-    out = out.withColumn("position", F.col("before") + F.col("own"))
-    return out.withColumn("percentile", F.round((F.col("all") - F.col("position") + 1) / F.col("all") * 100, 6)).drop("range", "own", "before", "all")
+    told = settled(ranked.withColumn("_key", _key()))
+    keys = sorted((r[0] for r in told.select("_key").orderBy(F.xxhash64("_key"), "_key").limit(ranges * sample).collect()), key=str.encode)
+    bounds = keys[sample::sample]
+    place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("_key"))) if bounds else F.lit(0)
+    placed = told.withColumn("_range", place)
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"), F.sum("n").over(Window.partitionBy()).alias("_all"))
+    numbered = placed.withColumn("_own", F.row_number().over(Window.partitionBy("_range").orderBy("_key")))
+    out = numbered.join(F.broadcast(sizes), "_range")  # one row per range
+    out = out.withColumn("position", F.col("_before") + F.col("_own"))
+    return out.withColumn("percentile", F.round((F.col("_all") - F.col("position") + 1) / F.col("_all") * 100, 6)).drop("_key", "_range", "_own", "_before", "_all")
 
 
 def top(ranked: DataFrame, n: int = 20) -> DataFrame:
