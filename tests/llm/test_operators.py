@@ -13,7 +13,7 @@ import brute
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import DDL, ODD, PASSAGE, SF
+from cases import DDL, ODD, PASSAGE, SF
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

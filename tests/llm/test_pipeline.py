@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import brute
 import corpus_pipeline
-from conftest import DDL, ODD, SF
+from cases import DDL, ODD, SF
 from pyspark.sql import functions as F
 
 from siftwood.llm import near_dup
