@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import SF, same
+from helpers import SF, same
 
 from siftwood import oracles, queries
 
