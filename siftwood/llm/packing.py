@@ -31,10 +31,12 @@ SHARD = 1 << 22
 #: Cost of a piece of n tokens: n + QUADRATIC * n * n.
 QUADRATIC = 1 / CAPACITY
 END = 2
-#: Distinct words that a task remembers the ids of.
-MEMORY = 1_500_000
+#: Bytes of text that are encoded together: each pass merges its new words into those remembered.
+PASS_BYTES = 1 << 20
+#: Distinct words that a process remembers the ids of.
+MEMORY = 3_000_000
 #: Parts of words that it remembers.
-PARTS = 250_000
+PARTS = 400_000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -179,7 +181,7 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, shard: int
         encoder, held, total, first = Encoder.of(tokenizer), [], 0, TaskContext.get().partitionId() << 36
         for batch in it:
             raw, offsets = buffers(batch.column("text"))
-            for i, j in pieces(offsets):
+            for i, j in pieces(offsets, PASS_BYTES):
                 at = offsets[i : j + 1]
                 ids, bounds = encoder.encode(raw[at[0] : at[-1]], at - at[0])
                 held.append((batch.column("doc_id").slice(i, j - i), ids.astype(np.uint16) if ids.max(initial=0) < 65536 else ids, np.diff(bounds)))
