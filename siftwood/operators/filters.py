@@ -143,8 +143,9 @@ def review_findings(rows: DataFrame) -> DataFrame:
 def overlap_peers(found: DataFrame) -> DataFrame:
     """For findings whose line other detectors flag as well: id, and the others' names in order. A null line overlaps with nothing."""
     at = found.where("line_number is not null").select("id", "file_path", "line_number", "detected_by")
-    by_line = at.groupBy("file_path", "line_number").agg(F.array_sort(F.collect_set("detected_by")).alias("all")).where(F.size("all") > 1)
-    return at.join(by_line, ["file_path", "line_number"]).select("id", "file_path", "line_number", "detected_by", F.array_remove("all", F.col("detected_by")).alias("peers"))
+    # a window, not a join back: the findings are computed once, and a line has few of them
+    told = at.withColumn("all", F.array_sort(F.collect_set("detected_by").over(Window.partitionBy("file_path", "line_number")))).where(F.size("all") > 1)
+    return told.select("id", "file_path", "line_number", "detected_by", F.array_remove("all", F.col("detected_by")).alias("peers"))
 
 
 def cluster_sizes(found: DataFrame) -> DataFrame:

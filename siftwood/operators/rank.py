@@ -110,6 +110,7 @@ def contextual_risk(found: DataFrame) -> DataFrame:
 
 def ranking_report(ranked: DataFrame) -> DataFrame:
     """Count, mean and best score by type, by severity and overall, in one pass of grouping sets; and the mean of the ten best."""
+    ranked = settled(ranked.select("type", "severity", "ranking_score", "file_path", "line_number", "detected_by", "pattern_type", "id"))
     sets = ranked.groupingSets([["type"], ["severity"], []], "type", "severity").agg(F.count("*").alias("n"), F.round(F.avg("ranking_score"), 6).alias("avg_score"), F.max("ranking_score").alias("top_score"), F.grouping_id().alias("level"))
     named = sets.select(F.when(F.col("level") == 1, "type").when(F.col("level") == 2, "severity").otherwise("all").alias("dimension"), F.coalesce("type", "severity", F.lit("all")).alias("value"), "n", "avg_score", "top_score")
     best = top(ranked, 10).agg(F.count("*").alias("n"), F.round(F.avg("ranking_score"), 6).alias("avg_score"), F.max("ranking_score").alias("top_score")).select(F.lit("top_10").alias("dimension"), F.lit("all").alias("value"), "n", "avg_score", "top_score")

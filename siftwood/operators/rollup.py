@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import values as V
 from ..functions.columns import any_of, contains_any, first_case, lookup
+from ..functions.lineage import settled
 from ..schema import is_critical
 from .classify import classified
 from .filters import severity_rank
@@ -34,7 +35,7 @@ def file_scores(found: DataFrame) -> DataFrame:
 
 def file_metrics(found: DataFrame, n: int = 5) -> DataFrame:
     """The n files of highest score, and the n of lowest score among those with one issue at most."""
-    scores = file_scores(found)
+    scores = settled(file_scores(found))
     worst = scores.orderBy(F.desc("score"), "file_path").limit(n).select(F.lit("most_problematic").alias("kind"), "file_path", "issues", "score")
     best = scores.where("issues <= 1").orderBy("score", F.desc("file_path")).limit(n).select(F.lit("cleanest").alias("kind"), "file_path", "issues", "score")
     return worst.unionByName(best)
@@ -155,7 +156,7 @@ def _block_order() -> list[Column]:
 
 def typed_blocks(found: DataFrame, cap: int = V.BLOCK_CAP) -> DataFrame:
     """Critical and high findings by block, up to the cap, in order, and how many the cap drops."""
-    placed = found.where(is_critical()).withColumn("block", block())
+    placed = settled(found.where(is_critical()).withColumn("block", block()))
     sizes = placed.groupBy("block").agg(F.count("*").alias("all"))  # a row per block
     placed = placed.withColumn("place", F.row_number().over(Window.partitionBy("block").orderBy(*_block_order()))).where(F.col("place") <= cap)
     return placed.join(F.broadcast(sizes), "block").select("block", "place", "id", "file_path", "line_number", "severity", "title", F.greatest(F.col("all") - cap, F.lit(0)).alias("dropped"))
@@ -197,6 +198,7 @@ def display_cluster(size: Column) -> Column:
 
 def quick_actions(found: DataFrame) -> DataFrame:
     """Three critical findings, five work markers, and how many markers are left out."""
+    found = settled(found.where("severity = 'critical' or type = 'todo'"))
     now = found.where("severity = 'critical'").orderBy(*_block_order()).limit(3).select(F.lit("immediate").alias("kind"), "id", "file_path", "line_number")
     todo = found.where("type = 'todo'")
     some = todo.orderBy(F.asc("file_path"), F.asc_nulls_last("line_number"), F.asc("pattern_type"), F.asc("id")).limit(5).select(F.lit("todo").alias("kind"), "id", "file_path", "line_number")
