@@ -34,9 +34,7 @@ END = 2
 #: Bytes of text that are encoded together: each pass merges its new words into those remembered.
 PASS_BYTES = 1 << 20
 #: Distinct words that a process remembers the ids of.
-MEMORY = 3_000_000
-#: Parts of words that it remembers.
-PARTS = 400_000
+MEMORY = 2_000_000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -56,7 +54,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts: dict[bytes, bytes] = {}
         self.forget()
 
     def forget(self) -> None:
@@ -78,10 +75,8 @@ class Encoder:
         for x in fresh:
             m = match(x)
             keys.append((m[1].lower(), m[2]) if m and m[1].decode().isalpha() else (x, None))
-        if len(self.parts) > PARTS:
-            self.parts = {}
-        parts = self.parts
-        new = list(dict.fromkeys(k for key in keys for k in key if k is not None and k not in parts))
+        parts: dict[bytes, bytes] = {}
+        new = list({k for key in keys for k in key if k is not None})
         for a in range(0, len(new), 20_000):
             part = new[a : a + 20_000]
             parts.update(zip(part, [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)], strict=True))
