@@ -19,6 +19,8 @@ from .shared import cut, text_of
 
 #: A byte ends a chunk with this chance: five to six words a chunk in ordinary text.
 RATE = 1 / 28
+#: Words of a chunk, at most.
+LONGEST = 32
 #: Whole chunks cover a passage but for its two ends, some five words each: this finds passages of 50 words.
 MIN_WORDS = 18
 _ONE, _TWO = 0x5851F42D4C957F2D, 0x14057B7EF767814F | 1
@@ -38,6 +40,10 @@ def _chunks(w) -> tuple[np.ndarray, np.ndarray]:
     first[1:] = upto[1:] > upto[:-1]
     first[w.bounds[:-1][w.counts > 0]] = True
     at = np.flatnonzero(first)
+    # where no byte ends a chunk, as in one word over and over, every LONGEST-th word does
+    n = np.diff(np.append(at, len(w.starts)))
+    parts = -(-n // LONGEST)
+    at = np.repeat(at, parts) + LONGEST * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
     return at, np.searchsorted(at, w.bounds)
 
 
