@@ -76,6 +76,24 @@ def chunks(docs: DataFrame, both: bool = True) -> DataFrame:
     return source.mapInArrow(run, "doc_id long, d1 long" + ", d2 long, start long, words long" * both)
 
 
+def _repeated(docs: DataFrame) -> DataFrame:
+    """(doc_id, start, words, first): chunks that several documents hold, with the smallest id that does."""
+    often = chunks(docs, both=False).groupBy("d1").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("d1")
+    found = cut(chunks(docs).join(often, "d1", "left_semi"), "chunks")
+    first = found.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    return found.join(first, ["d1", "d2"]).select("doc_id", "start", "words", "first")
+
+
+def _runs(repeated: DataFrame, min_words: int) -> DataFrame:
+    """Runs of adjacent chunks of min_words words or more."""
+    w = Window.partitionBy("doc_id").orderBy("start", "words")
+    new = F.coalesce(F.lag(F.col("start") + F.col("words")).over(w) < F.col("start"), F.lit(True))
+    runs = repeated.withColumn("run", F.sum(new.cast("long")).over(w))
+    later = F.when(F.col("first") < F.col("doc_id"), F.col("words")).otherwise(0)
+    runs = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("words")) - F.min("start")).alias("words"), F.min("first").alias("first_doc_id"), F.sum(later).alias("removed_words"))
+    return runs.where(F.col("words") >= min_words).select("doc_id", "start", "words", "first_doc_id", "removed_words")
+
+
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Runs of repeated chunks: doc_id, start, words, first_doc_id, removed_words; start and words count words of the text.
 
@@ -85,29 +103,21 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     text; rows that share an id are one document. Only ``doc_id`` and ``text``
     are read. An empty table gives an empty result.
     """
-    often = chunks(docs, both=False).groupBy("d1").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("d1")
-    found = cut(chunks(docs).join(often, "d1", "left_semi"), "chunks")
-    first = found.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    sure = found.join(first, ["d1", "d2"]).select("doc_id", "start", "words", "first")
-    w = Window.partitionBy("doc_id").orderBy("start", "words")
-    new = F.coalesce(F.lag(F.col("start") + F.col("words")).over(w) < F.col("start"), F.lit(True))
-    runs = sure.withColumn("run", F.sum(new.cast("long")).over(w))
-    runs = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("words")) - F.min("start")).alias("words"), F.min("first").alias("first_doc_id"), F.sum(F.when(F.col("first") < F.col("doc_id"), F.col("words")).otherwise(0)).alias("removed_words"))
-    return runs.where(F.col("words") >= min_words).select("doc_id", "start", "words", "first_doc_id", "removed_words")
+    return _runs(_repeated(docs), min_words)
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows of docs with all their columns, and without the runs that a document of smaller id holds.
+    """The rows of docs with all their columns, and without the runs of chunks that documents of smaller id hold.
 
-    A run goes as a whole if ``removed_words`` is at least ``min_words``; the
-    text around it stays as it is, byte for byte. Documents stay even if their
-    text is then empty. Texts without such a run are not touched.
+    What a document is the first to hold stays in it, also next to a run that
+    goes; the text around runs stays as it is, byte for byte. Documents stay
+    even if their text is then empty. Texts without such a run are not touched.
     """
-    runs = repeats(docs, min_words).where(F.col("removed_words") >= min_words)
+    runs = _runs(_repeated(docs).where(F.col("first") < F.col("doc_id")), min_words)
     held, spans = "__siftwood_doc__", "__siftwood_runs__"
     runs = runs.groupBy(F.col("doc_id").alias(held)).agg(F.array_sort(F.collect_list(F.struct("start", "words"))).alias(spans))
     wide = docs.join(runs, docs.doc_id == F.col(held), "left").drop(held)
-    names, types = docs.columns, dict(docs.dtypes)
+    names = docs.columns
 
     def run(it):
         for batch in it:
@@ -122,7 +132,6 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 texts = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays([texts if n == "text" else batch.column(n) for n in names], names)
 
-    assert types["text"] == "string"
     return wide.mapInArrow(run, docs.schema)
 
 

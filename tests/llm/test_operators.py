@@ -207,6 +207,15 @@ def test_remove_repeats(spark, odd):
     assert chunk_dedup.repeats(empty(spark)).count() == 0 and chunk_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+def test_first_holder_keeps_its_text(spark):
+    """A passage next to a repeated one stays in the document that is the first to hold it."""
+    one, two = (" ".join(f"{p}{k} {p}v{k * 7}" for k in range(40)) for p in ("p", "q"))
+    out = {r["doc_id"]: r["text"] for r in chunk_dedup.remove_repeats(frame(spark, [(1, f"a b {one} c"), (2, f"d {one} {two} e"), (3, f"{two} f g")])).collect()}
+    assert out[1] == f"a b {one} c"
+    assert out[2].endswith(f"{two} e") and len(set(one.split()) & set(out[2].split())) < 30
+    assert len(out[3].split()) < 40  # of 82
+
+
 # 4
 
 
