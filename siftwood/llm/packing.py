@@ -12,6 +12,7 @@ that fits nowhere is cut, and fills up the sequence with the most room first.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
@@ -51,6 +52,8 @@ class Encoder:
     _parts = re.compile(rb"([A-Za-z\x80-\xff]+)([.,;:!?#$%&*|]+)")
 
     def __init__(self, path: str):
+        # a task has one core; threads of the library's own would each keep memory
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -77,8 +80,8 @@ class Encoder:
             keys.append((m[1].lower(), m[2]) if m and m[1].decode().isalpha() else (x, None))
         parts: dict[bytes, bytes] = {}
         new = list({k for key in keys for k in key if k is not None})
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
+        for a in range(0, len(new), 4_000):
+            part = new[a : a + 4_000]
             parts.update(zip(part, [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)], strict=True))
         return [parts[a] if b is None else parts[a] + parts[b] for a, b in keys]
 
