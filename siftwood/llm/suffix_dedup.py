@@ -1,15 +1,16 @@
-"""Repeated passages by sparse suffix arrays.
+"""Repeated passages by sparse suffixes.
 
 Of each text's suffixes only those at minimiser positions are kept: the word at
 which the least hash of KEY words lies in some window of WINDOW of them, so
-that a passage of MIN_WORDS words holds the same ones wherever it stands.
-Suffixes whose first KEY words some other document has are sorted, by what
-follows and again by what goes before, and compared with their neighbours in
-that order; the match is extended left and right. Matches of MIN_WORDS words or
-more are merged into each document's spans.
-
-The order is dealt out by ranges, so a passage that very many documents share
-lies on many tasks; the rows at the ranges' ends meet in a second, small pass.
+that a passage of MIN_WORDS words holds the same ones wherever it stands. Each
+MIN_WORDS words of a text belong to one suffix, that of their least hash.
+Suffixes whose first KEY words some other document has are kept, and all the
+MIN_WORDS words that belong to them are grouped by their digest, at every split
+between what goes before the key and what follows it. Those that several
+documents hold are merged into each document's spans.
+
+Nothing is compared with neighbours in an order: a passage is found however
+many documents share only a part of it, and wherever its rows lie.
 """
 
 from __future__ import annotations
@@ -19,22 +20,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernel import each, grams
-from .shared import cut, text_of
+from .kernel import each, grams, mix, powers
+from .shared import cut, flat, text_of
 
 MIN_WORDS = 50
 KEY = 8
 #: Windows of this many keys lie in any MIN_WORDS words.
 WINDOW = MIN_WORDS - KEY + 1
-#: Words of context on either side; the next minimiser covers what is beyond.
-REACH = MIN_WORDS - KEY
-THIN = 16
 _POSITION = np.uint64((1 << 28) - 1)
+_BASE = 0x5851F42D4C957F2D
 
 
-def minimisers(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words at which the kept suffixes start, and their keys."""
-    g = grams(h, KEY)
+def anchors(g: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words at which MIN_WORDS words of one text start, and the word among them at which their least key does; g has all keys."""
     if len(g) < WINDOW:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     least = (g & ~_POSITION) | np.arange(len(g), dtype=np.uint64)
@@ -48,17 +46,24 @@ def minimisers(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     full = np.diff(bounds) >= MIN_WORDS
     np.add.at(inside, bounds[:-1][full], 1)
     np.add.at(inside, bounds[1:][full] - MIN_WORDS + 1, -1)
-    at = np.unique((least[np.cumsum(inside[:-1]) > 0] & _POSITION).astype(np.int64))
-    # where a text repeats few words over and over, neighbours share one key: a window of each end and every THIN-th between tell the same
-    follows = np.zeros(len(at), bool)
-    follows[1:] = (at[1:] - at[:-1] <= KEY) & (g[at[1:]] == g[at[:-1]])
-    first = np.flatnonzero(~follows)
-    length = np.diff(np.append(first, len(at)))
-    place = np.arange(len(at)) - np.repeat(first, length)
-    at = at[(place < WINDOW) | (place >= np.repeat(length, length) - WINDOW) | (place % THIN == 0)]
+    start = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+    return start, (least[start] & _POSITION).astype(np.int64)
+
+
+def minimisers(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words at which the kept suffixes start, and their keys."""
+    g = grams(h, KEY)
+    at = np.unique(anchors(g, bounds)[1])
     return at, (g[at] >> np.uint64(1)).astype(np.int64)
 
 
+def _digests(h: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Digests of the MIN_WORDS words from each start: a polynomial over their hashes."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers(_BASE, len(h)), dtype=np.uint64)])
+    back = powers(pow(_BASE, -1, 2**64), len(h))
+    return mix((total[start + MIN_WORDS] - total[start]) * back[start]).view(np.int64)
+
+
 def suffixes(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, key): the suffixes that are kept of texts with an id; pos counts words."""
 
@@ -73,116 +78,34 @@ def suffixes(docs: DataFrame) -> DataFrame:
     return text_of(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, pos long, key long")
 
 
-def _contexts(matched: DataFrame, docs: DataFrame) -> DataFrame:
-    """(key, after, before, doc_id, pos): two bytes a word of what follows the key, and of what goes before it, backwards."""
-    listed = matched.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "key")).alias("held"))
+def _passages(matched: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, start, digest): all MIN_WORDS words that belong to the suffixes of matched; start counts words."""
+    listed = matched.groupBy("doc_id").agg(F.collect_list("pos").alias("held"))
 
     def run(it):
         for batch in it:
             ids = batch.column("doc_id").to_numpy()
-            held = batch.column("held")
+            ends, pos = flat(batch.column("held"))
             for i, j, w in each(batch.column("text")):
-                short = (w.hashes() >> np.uint64(48)).astype(">u2")
-                for k in range(i, j):
-                    a, b = w.bounds[k - i], w.bounds[k - i + 1]
-                    own = held[k].as_py()
-                    pos = [x["pos"] for x in own if x["pos"] + KEY <= b - a]
-                    if not pos:
-                        continue
-                    after = [short[a + p + KEY : min(a + p + KEY + REACH, b)].tobytes() for p in pos]
-                    before = [short[max(a + p - REACH, a) : a + p][::-1].tobytes() for p in pos]
-                    yield pa.RecordBatch.from_arrays([pa.array([x["key"] for x in own if x["pos"] + KEY <= b - a], pa.int64()), pa.array(after, pa.binary()), pa.array(before, pa.binary()), pa.array([ids[k]] * len(pos), pa.int64()), pa.array(pos, pa.int64())], ["key", "after", "before", "doc_id", "pos"])
-
-    return text_of(docs).join(listed, "doc_id").select("doc_id", "text", "held").mapInArrow(run, "key long, after binary, before binary, doc_id long, pos long")
-
+                h = w.hashes()
+                own = pos[ends[i] : ends[j]] + np.repeat(w.bounds[:-1], np.diff(ends[i : j + 1]))
+                # rows that share an id share their positions, which may lie beyond this row's text
+                own = own[own < np.repeat(w.bounds[1:], np.diff(ends[i : j + 1]))]
+                kept = np.zeros(len(h), bool)
+                kept[own] = True
+                start, at = anchors(grams(h, KEY), w.bounds)
+                start = start[kept[at]]
+                doc = np.searchsorted(w.bounds, start, "right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][doc], pa.int64()), pa.array(start - w.bounds[doc], pa.int64()), pa.array(_digests(h, start))], ["doc_id", "start", "digest"])
 
-def _padded(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    values = column.to_pylist()
-    n = np.array([len(x) // 2 for x in values])
-    return np.frombuffer(b"".join(x.ljust(2 * REACH, b"\0") for x in values), ">u2").reshape(-1, REACH), n
-
-
-def _common(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    same = (a == b) & (np.arange(REACH) < np.minimum(na, nb)[:, None])
-    return np.where(same.all(1), REACH, np.argmin(same, 1))
-
-
-_SPANS = "doc_id long, start long, words long, other long, key long, after binary, before binary, pos long"
-_NAMES = ["doc_id", "start", "words", "other", "key", "after", "before", "pos"]
-
-
-def _compare(rows: DataFrame, ends: bool) -> DataFrame:
-    """Spans by comparing each run of one document's suffixes with the rows on either side of it.
-
-    With ``ends``, rows at a partition's two ends come along (start is null) for a further pass.
-    """
-
-    def spans(t: pa.Table) -> pa.RecordBatch | None:
-        key, doc, pos = (t.column(c).to_numpy() for c in ("key", "doc_id", "pos"))
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-        run = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(key))
-        pairs = []
-        for other in (first[run] - 1, last[run]):
-            ok = (other >= 0) & (other < len(key))
-            mine = np.flatnonzero(ok)
-            mine = mine[key[other[mine]] == key[mine]]
-            pairs.append((mine, other[mine]))
-        mine, other = (np.concatenate(x) for x in zip(*pairs, strict=True))
-        if not len(mine):
-            return None
-        (a, na), (b, nb) = _padded(t.column("after")), _padded(t.column("before"))
-        right, left = _common(a[mine], na[mine], a[other], na[other]), _common(b[mine], nb[mine], b[other], nb[other])
-        words = left + KEY + right
-        ok = words >= MIN_WORDS
-        out = [doc[mine], pos[mine] - left, words, doc[other]]
-        n = int(ok.sum())
-        return pa.RecordBatch.from_arrays([*(pa.array(x[ok].astype(np.int64)) for x in out), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], _NAMES)
-
-    def edge(t: pa.Table) -> pa.RecordBatch:
-        none = pa.nulls(t.num_rows, pa.int64())
-        pick = lambda c: t.column(c).combine_chunks()
-        return pa.RecordBatch.from_arrays([pick("doc_id"), none, none, none, pick("key"), pick("after"), pick("before"), pick("pos")], _NAMES)
-
-    def run(it):
-        rest, begun = None, False
-        for batch in it:
-            if not batch.num_rows:
-                continue
-            t = pa.Table.from_batches([batch])
-            if ends and not begun:
-                yield edge(t.slice(0, 1))
-            begun = True
-            if rest is not None:
-                t = pa.concat_tables([rest, t]).combine_chunks()
-            if (found := spans(t)) is not None:
-                yield found
-            # what the next batch's first rows may be compared with: the last run, and the row before it
-            key, doc = t.column("key").to_numpy(), t.column("doc_id").to_numpy()
-            differ = np.flatnonzero((key != key[-1]) | (doc != doc[-1]))
-            rest = t.slice(max(0, int(differ[-1]) if len(differ) else 0))
-        if ends and rest is not None:
-            yield edge(rest.slice(max(0, rest.num_rows - 1)))
-
-    return rows.select("key", "after", "before", "doc_id", "pos").mapInArrow(run, _SPANS)
-
-
-def _ordered(rows: DataFrame, by: str) -> DataFrame:
-    """Spans from neighbours in the order by key and then by ``by``."""
-    order = ("key", by, "doc_id", "pos")
-    found = cut(_compare(rows.repartitionByRange(*order).sortWithinPartitions(*order), ends=True), f"spans-{by}")
-    ends = found.where("start is null").select("key", "after", "before", "doc_id", "pos")
-    stitched = _compare(ends.repartition(1).sortWithinPartitions(*order), ends=False)
-    return found.where("start is not null").unionByName(stitched).select("doc_id", "start", "words", "other")
+    return text_of(docs).join(listed, "doc_id").select("doc_id", "text", "held").mapInArrow(run, "doc_id long, start long, digest long")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """Spans that other documents have too: doc_id, start, words, first_doc_id; start and words count words.
 
-    A span is a union of matches of MIN_WORDS words or more, each with some
-    other document; ``first_doc_id`` is the smallest id of those and its own.
+    A span is a union of MIN_WORDS words each that some other document has too;
+    ``first_doc_id`` is the smallest id of those and its own.
     Letter case of A-Z and white space don't count. Rows without an id or with
     fewer words give nothing, nor do repeats within one document; rows that
     share an id are one document. Only ``doc_id`` and ``text`` are read. An
@@ -191,11 +114,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     often = suffixes(docs).groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
     often = cut(often, "keys")  # read back, so that a hot key's side of the join can be split
     matched = suffixes(docs).join(often, "key", "left_semi")
-    rows = cut(_contexts(matched, docs), "contexts")
-    spans = _ordered(rows, "after").unionByName(_ordered(rows, "before"))
-    spans = spans.groupBy("doc_id", "start").agg(F.max("words").alias("words"), F.min(F.least("other", "doc_id")).alias("first"))
+    passages = cut(_passages(matched, docs), "passages")
+    shared = passages.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    spans = passages.join(shared, "digest").select("doc_id", "start", "first")
     w = Window.partitionBy("doc_id").orderBy("start")
-    upto = F.max(F.col("start") + F.col("words")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    runs = spans.withColumn("new", F.coalesce(upto < F.col("start"), F.lit(True)).cast("long"))
-    runs = runs.withColumn("run", F.sum("new").over(w))
-    return runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("words")) - F.min("start")).alias("words"), F.min("first").alias("first_doc_id")).drop("run")
+    new = F.coalesce(F.lag(F.col("start") + MIN_WORDS).over(w) < F.col("start"), F.lit(True))
+    runs = spans.withColumn("run", F.sum(new.cast("long")).over(w))
+    return runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), (F.max("start") + MIN_WORDS - F.min("start")).alias("words"), F.min("first").alias("first_doc_id")).drop("run")

@@ -174,6 +174,28 @@ def test_repeated_passages_odd(spark, odd):
     assert suffix_dedup.repeated_passages(empty(spark)).count() == 0
 
 
+def least_key(r):
+    """Words whose key is less than almost all others, so that it is the minimiser of any passage around it."""
+    while True:
+        key = [f"v{r.randrange(10**9)}" for _ in range(suffix_dedup.KEY)]
+        w = kernel.words(np.frombuffer(" ".join(key).encode(), np.uint8), np.array([0, len(" ".join(key))]))
+        if not int(kernel.grams(w.hashes(), suffix_dedup.KEY)[0]) >> 52:
+            return key
+
+
+def test_repeated_passages_between_hot_halves(spark):
+    """Two documents share 53 words; hundreds of others share their left words and key, and hundreds their key and right words."""
+    r = random.Random(5)
+    text = lambda n: [f"v{r.randrange(10**9)}" for _ in range(n)]
+    key, left, right = least_key(r), text(20), text(25)
+    rows = [(d, " ".join(text(60) + left + key + right + text(60))) for d in (1, 2)]
+    rows += [(10 + d, " ".join(text(80) + key + right + text(60))) for d in range(300)]
+    rows += [(1000 + d, " ".join(text(60) + left + key + text(85))) for d in range(300)]
+    expect = brute.covered(rows)
+    assert set(expect) == {1, 2}
+    assert spans_of(suffix_dedup.repeated_passages(frame(spark, rows))) == expect
+
+
 def test_chunks_find_passages(docs, texts):
     expect = brute.covered(texts)
     got = spans_of(chunk_dedup.repeats(docs))
