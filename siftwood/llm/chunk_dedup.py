@@ -1,10 +1,12 @@
 """Substring dedup by content-defined chunks.
 
-A gear hash rolls over the bytes of a text; where it falls below a bound, a
-chunk ends at the next word. Insertions move chunk bounds only near them. A
-chunk whose digest some other document has too is a repeat; runs of adjacent
-repeats of at least MIN_WORDS words are what the operator reports and removes
-(everywhere but in the document of smallest id).
+A chunk begins at each word where the least hash of KEY words lies in some
+window of WINDOW of them, so bounds depend on the words near them only, and
+insertions move no others. Any passage that two documents share is cut alike in
+both between the first and the last such word of its own windows. A stretch of
+adjacent chunks, as few as have MIN_WORDS words, is a repeat if some other
+document has it too; runs of overlapping or adjacent repeats are what the
+operator reports and removes (everywhere but in the document of smallest id).
 """
 
 from __future__ import annotations
@@ -14,39 +16,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernel import buffers, each, gear, mix, powers
+from .kernel import buffers, each, grams, mix, powers
 from .shared import cut, text_of
 
-#: A byte ends a chunk with this chance: five to six words a chunk in ordinary text.
-RATE = 1 / 28
-#: Words of a chunk, at most.
-LONGEST = 32
-#: Whole chunks cover a passage but for its two ends, some five words each: this finds passages of 50 words.
+KEY = 4
+#: Words of a chunk, at most, but for a text's last; half as many on average.
+WINDOW = 10
+#: Whole chunks cover a passage but for WINDOW - 1 words before them and WINDOW + KEY - 1 after, at most: 28 words of any 50, so none is missed.
 MIN_WORDS = 18
+_POSITION = np.uint64((1 << 28) - 1)
 _ONE, _TWO = 0x5851F42D4C957F2D, 0x14057B7EF767814F | 1
 
 
 def _chunks(w) -> tuple[np.ndarray, np.ndarray]:
     """First words of the chunks, and each text's range of chunks."""
-    hit = (gear(w.low) >> np.uint32(12) & np.uint32(0xFFFF)) < int(RATE * 65536)
-    # the hash needs 16 bytes of the same text
-    begin = w.offsets[:-1]
-    for k in range(15):
-        at = begin + k
-        hit[at[at < w.offsets[1:]]] = False
-    total = np.concatenate([[0], np.cumsum(hit)])
-    upto = total[w.starts]
     first = np.zeros(len(w.starts), bool)
-    first[1:] = upto[1:] > upto[:-1]
     first[w.bounds[:-1][w.counts > 0]] = True
+    least = grams(w.hashes(), KEY)
+    if len(least) >= WINDOW:
+        least = (least & ~_POSITION) | np.arange(len(least), dtype=np.uint64)
+        span = 1
+        while span < WINDOW:
+            step = min(span, WINDOW - span)
+            least = np.minimum(least[:-step], least[step:])
+            span += step
+        # windows that lie in one text
+        row = w.rows()
+        inside = row[: len(least)] == row[WINDOW + KEY - 2 :]
+        first[(least[inside] & _POSITION).astype(np.int64)] = True
     at = np.flatnonzero(first)
-    # where no byte ends a chunk, as in one word over and over, every LONGEST-th word does
-    n = np.diff(np.append(at, len(w.starts)))
-    parts = -(-n // LONGEST)
-    at = np.repeat(at, parts) + LONGEST * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
     return at, np.searchsorted(at, w.bounds)
 
 
+def _stretches(at: np.ndarray, bounds: np.ndarray, w) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words of the stretches, their numbers of words, and their texts: from each chunk on, and up to each chunk's end."""
+    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    ends = np.append(at[1:], len(w.starts))
+    k = np.minimum(np.searchsorted(ends, at + MIN_WORDS), len(ends) - 1)
+    to = ends[k]
+    on = at + MIN_WORDS <= w.bounds[1:][doc]
+    back = np.maximum(np.searchsorted(at, ends - MIN_WORDS, "right") - 1, 0)
+    more = (ends - MIN_WORDS >= w.bounds[:-1][doc]) & (to[back] != ends)
+    return np.concatenate([at[on], at[back[more]]]), np.concatenate([(to - at)[on], (ends - at[back])[more]]), np.concatenate([doc[on], doc[more]])
+
+
 def _digests(h: np.ndarray, at: np.ndarray, n: np.ndarray, base: int) -> np.ndarray:
     """Digest of the words at..at+n: a polynomial over their hashes, and their number."""
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers(base, len(h)), dtype=np.uint64)])
@@ -55,7 +68,7 @@ def _digests(h: np.ndarray, at: np.ndarray, n: np.ndarray, base: int) -> np.ndar
 
 
 def chunks(docs: DataFrame, both: bool = True) -> DataFrame:
-    """(doc_id, d1[, d2, start, words]): chunks of the texts with an id, by digest; start and words count words."""
+    """(doc_id, d1[, d2, start, words]): stretches of chunks of the texts with an id, by digest; start and words count words."""
 
     def run(it):
         for batch in it:
@@ -64,9 +77,7 @@ def chunks(docs: DataFrame, both: bool = True) -> DataFrame:
                 if not len(w.starts):
                     continue
                 h = w.hashes()
-                at, bounds = _chunks(w)
-                n = np.diff(np.append(at, len(h)))
-                doc = np.repeat(np.arange(j - i), np.diff(bounds))
+                at, n, doc = _stretches(*_chunks(w), w)
                 cols = [pa.array(ids[i:j][doc], pa.int64()), pa.array(_digests(h, at, n, _ONE))]
                 if both:
                     cols += [pa.array(_digests(h, at, n, _TWO)), pa.array(at - w.bounds[doc], pa.int64()), pa.array(n, pa.int64())]
@@ -77,7 +88,7 @@ def chunks(docs: DataFrame, both: bool = True) -> DataFrame:
 
 
 def _repeated(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, words, first): chunks that several documents hold, with the smallest id that does."""
+    """(doc_id, start, words, first): stretches that several documents hold, with the smallest id that does."""
     often = chunks(docs, both=False).groupBy("d1").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("d1")
     found = cut(chunks(docs).join(often, "d1", "left_semi"), "chunks")
     first = found.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
@@ -85,20 +96,24 @@ def _repeated(docs: DataFrame) -> DataFrame:
 
 
 def _runs(repeated: DataFrame, min_words: int) -> DataFrame:
-    """Runs of adjacent chunks of min_words words or more."""
+    """Runs of overlapping or adjacent stretches of min_words words or more."""
     w = Window.partitionBy("doc_id").orderBy("start", "words")
-    new = F.coalesce(F.lag(F.col("start") + F.col("words")).over(w) < F.col("start"), F.lit(True))
-    runs = repeated.withColumn("run", F.sum(new.cast("long")).over(w))
-    later = F.when(F.col("first") < F.col("doc_id"), F.col("words")).otherwise(0)
-    runs = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("words")) - F.min("start")).alias("words"), F.min("first").alias("first_doc_id"), F.sum(later).alias("removed_words"))
+    upto = lambda end: F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    end = F.col("start") + F.col("words")
+    runs = repeated.withColumn("new", F.coalesce(upto(end) < F.col("start"), F.lit(True)).cast("long"))
+    # words that some smaller id holds too, beyond those of the stretches before
+    later = F.when(F.col("first") < F.col("doc_id"), end)
+    runs = runs.withColumns({"run": F.sum("new").over(w), "later": F.greatest(later - F.greatest("start", upto(later)), F.lit(0))})
+    runs = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("words")) - F.min("start")).alias("words"), F.min("first").alias("first_doc_id"), F.sum("later").alias("removed_words"))
     return runs.where(F.col("words") >= min_words).select("doc_id", "start", "words", "first_doc_id", "removed_words")
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Runs of repeated chunks: doc_id, start, words, first_doc_id, removed_words; start and words count words of the text.
+    """Runs of repeated stretches: doc_id, start, words, first_doc_id, removed_words; start and words count words of the text.
 
-    ``first_doc_id`` is the smallest id that holds a chunk of the run, and
-    ``removed_words`` counts the words whose chunk some smaller id holds too.
+    ``first_doc_id`` is the smallest id that holds a stretch of the run, and
+    ``removed_words`` counts the words whose stretch some smaller id holds too.
+    Stretches have MIN_WORDS words at least, so a smaller min_words gives no more.
     Repeats within one document don't count, nor do rows without an id or
     text; rows that share an id are one document. Only ``doc_id`` and ``text``
     are read. An empty table gives an empty result.
@@ -107,7 +122,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows of docs with all their columns, and without the runs of chunks that documents of smaller id hold.
+    """The rows of docs with all their columns, and without the runs of stretches that documents of smaller id hold.
 
     What a document is the first to hold stays in it, also next to a run that
     goes; the text around runs stays as it is, byte for byte. Documents stay

@@ -204,6 +204,22 @@ def test_chunks_find_passages(docs, texts):
     assert set(got) <= set(brute.covered(texts, 12))
 
 
+def test_chunks_find_every_passage_of_short_words(spark):
+    """Passages of exactly 50 words of two or three letters, each in two documents."""
+    r = random.Random(6)
+    text = lambda n: ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.choice((2, 3)))) for _ in range(n)]
+    rows = []
+    for k in range(400):
+        passage = text(50)
+        rows += [(2 * k + i, " ".join(text(30 + 7 * i) + passage + text(40))) for i in range(2)]
+    expect = brute.covered(rows)
+    assert set(expect) == set(range(800))
+    got = spans_of(chunk_dedup.repeats(frame(spark, rows)))
+    assert all(len(expect[d] & got.get(d, set())) >= 28 for d in expect)
+    left = {r["doc_id"]: r["text"].split() for r in chunk_dedup.remove_repeats(frame(spark, rows)).collect()}
+    assert all(len(left[2 * k]) == 120 and len(left[2 * k + 1]) <= 127 - 28 for k in range(400))
+
+
 def test_chunks_resist_insertions():
     r = random.Random(4)
     w = [f"w{r.randrange(10**6)}" for _ in range(400)]
