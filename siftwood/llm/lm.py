@@ -11,10 +11,10 @@ Counts are taken over all training texts. A token's count comes back to the
 texts through blocks: a block of documents is joined with the distinct words it
 holds, not with every one of its tokens.
 
-Training: each batch of texts runs minibatches over one of PARTS parts of its
-texts (another one in every round) from common parameters, and the parameters
-are averaged by the number of tokens seen; so a fixed share of all texts is
-trained on, at every size. Scoring: for the distinct contexts of a
+Training: each batch of texts runs minibatches over one of ``rounds`` parts of
+its texts (another one in every round) from common parameters, and the
+parameters are averaged by the number of tokens seen; so each training text is
+trained on once. Scoring: for the distinct contexts of a
 block, a matrix product gives all classes' scores, and their log-sum normalises.
 """
 
@@ -38,7 +38,6 @@ NOISE = 64
 BATCH = 1024
 RATE = 0.25
 ROUNDS = 2
-PARTS = 8
 #: Rows of a block, within a task's input.
 BLOCK_BITS = 12
 CONTEXTS = 8192
@@ -238,7 +237,7 @@ def fit(rows: DataFrame, counts: DataFrame, core: int = CORE, rounds: int = ROUN
 
             local = Trainer(model, TaskContext.get().partitionId() * rounds + turn)
             train = np.flatnonzero(~batch.column("held_out").to_numpy(zero_copy_only=False))
-            for _, _, w in each(batch.column("text").take(pa.array(train[turn::PARTS]))):
+            for _, _, w in each(batch.column("text").take(pa.array(train[turn::rounds]))):
                 full, one, two, _ = model.sequence(w, w.hashes())
                 local.run(full, one, two)
             total[:-1] += local.params() * local.seen

@@ -480,6 +480,18 @@ def test_lm_sums_to_one(docs):
         assert (sum(own), len(own)) == (m.rare_tokens[k], m.rare_types[k])
 
 
+def test_lm_trains_on_every_text(spark):
+    """Each text has a word of its own, whose context vectors move from where they started only if that text trains the model."""
+    rows = [(d, f"own{d} own{d} common words", "en", "a", 1) for d in range(200)]
+    split = lm.blocks(spark.createDataFrame(rows, DDL).coalesce(1))
+    counts = lm._words_by_block(split).groupBy("hash").agg(F.min("rare").alias("rare"), F.sum("n").alias("c")).where("c > 0")
+    m = lm.fit(split, counts)
+    after = m.params["a1"][: len(m.core)]
+    m.start()
+    assert len(m.core) == 2 + sum(zlib.crc32(str(d).encode()) % 10 > 0 for d in range(200))
+    assert (abs(after - m.params["a1"][: len(m.core)]) > 1e-5).any(1).all()  # beyond the rounding to 32 bits
+
+
 def test_lm_odd(spark, odd):
     out = lm.score(odd).collect()
     assert len(out) == len(ODD) and all(np.isfinite(r["score"]) and r["score"] <= 0 for r in out)
