@@ -196,6 +196,25 @@ def test_repeated_passages_between_hot_halves(spark):
     assert spans_of(suffix_dedup.repeated_passages(frame(spark, rows))) == expect
 
 
+def test_repeated_passages_in_a_long_run(spark):
+    """A long document repeats thousands of times, with other words between, what another document holds once; in several partitions."""
+    r = random.Random(8)
+    text = lambda n: [f"v{r.randrange(10**9)}" for _ in range(n)]
+    passage = text(20) + least_key(r) + text(24)
+    rows = [(1, " ".join(w for _ in range(3000) for w in [*passage, *text(3)])), (2, " ".join(text(30) + passage + text(30)))]
+    expect = brute.covered(rows)
+    assert len(expect[1]) == 3000 * len(passage)
+    few = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in few}
+    try:
+        for k, v in few.items():
+            spark.conf.set(k, v)
+        assert spans_of(suffix_dedup.repeated_passages(frame(spark, rows))) == expect
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
 def test_chunks_find_passages(docs, texts):
     expect = brute.covered(texts)
     got = spans_of(chunk_dedup.repeats(docs))
