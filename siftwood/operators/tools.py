@@ -55,7 +55,7 @@ JS_ENDINGS = (".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs")
 def js_patterns(lines_of: DataFrame) -> DataFrame:
     """(path, line_no, name, severity): JavaScript patterns by regular expressions, since Spark has no parser for it; one per line and pattern."""
     hits = [F.when(F.rlike("line", F.lit(p)), F.struct(F.lit(n).alias("name"), F.lit(s).alias("severity"))) for n, s, p in JS_PATTERNS]
-    rows = lines_of.where(extension(F.col("path")).isin(*JS_ENDINGS) & (F.length("line") <= V.LONGEST_LINE))
+    rows = lines_of.where(extension(F.col("path")).isin(*JS_ENDINGS))
     return rows.select("path", "line_no", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("path", "line_no", "h.*")
 
 

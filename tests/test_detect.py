@@ -133,3 +133,14 @@ def test_redaction_and_leaks(spark):
 
 def test_fold(spark):
     assert spark.createDataFrame([("ＡＫＩＡ１",)], "t string").select(redact.fold("t")).first()[0] == "AKIA1"
+
+
+def test_long_lines_are_searched(spark):
+    """Only the patterns of authentication and validation leave lines of over 10,000 characters out."""
+    from siftwood.operators import tools
+
+    pad = "word " * 3000
+    lines = detect.lines(files(spark, ("src/a.js", f"{pad}wtf AKIA{'Z7' * 8} eval(x)")))
+    assert [(r["name"], r["m"]) for r in detect.moderation_matches(lines).collect()] == [("casual_abbreviations", "wtf")]
+    assert {r["m"] for r in detect.shape_matches(lines, V.SECRETS).collect()} == {"AKIA" + "Z7" * 8}
+    assert {"eval_usage", "aws_key"} <= {r["name"] for r in tools.js_patterns(lines).collect()}
