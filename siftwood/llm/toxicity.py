@@ -1,105 +1,124 @@
 """Toxicity by compression distance: one zstandard dictionary for toxic text, one for ordinary text.
 
-A text's windows are its words (a longer window hides a word among its
-neighbours' bytes). A word is written as three bytes for each of its own: the
-byte itself and two hashes of it with its neighbours, so that short words weigh
-more than a frame's overhead and chance matches are rare. A window's distance is the length that
-it compresses to with the ordinary dictionary less the length with the toxic
-one. The ordinary dictionary holds the words that come in most contexts of
-ordinary text, and after a first round the ordinary windows that it still lost
-(hard negatives); the toxic one holds the words whose contexts are mostly toxic.
-Contexts count once however often a text is copied. How many windows reach each
-distance is what the calibration, fitted on rows that the dictionaries were not
-trained on, turns into a score. Each distinct window is compressed once a task.
+A text is written as three bytes for each of its own, the byte itself and two
+hashes of it with its neighbours in its word, so that chance matches of
+syllables are rare and short words weigh more than a match costs. Its windows
+are WINDOW words each. A window's distance is the length that it compresses to
+with the ordinary dictionary less the length with the toxic one; how many of a
+text's windows reach each distance in REACH is calibrated into its score.
+
+Training takes the labelled texts in two halves. On one, zstandard trains the
+ordinary dictionary from windows of ordinary text, and the toxic one from
+windows of toxic text. Most words of a toxic text are ordinary, so both are
+trained again in a few rounds: toxic windows count that a dictionary of *other*
+toxic texts shortens (texts are dealt to two folds, each judged by the other's
+dictionary), and ordinary windows that it shortens as well are learned by the
+ordinary dictionary. The toxic dictionary is used in front of the ordinary one,
+so that both find the same ordinary matches. The other half of the texts
+calibrates the distances. No word is counted or listed.
 """
 
 from __future__ import annotations
 
 import pickle
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import each, grams, words
+from .kernel import WHITE, each, sums
 from .quality import labelled
-from .shared import text_of
+from .shared import cut, text_of
 
 #: Labelled rows of each class that the model is fitted on, at most; the first by a hash of the id.
-SAMPLE = 5_000
-#: A toxic window comes in so many toxic contexts at least, and so many times as often as in ordinary text.
-CONTEXTS, RATIO = 4, 30.0
-#: Words of the ordinary dictionary.
-COMMON = 8_000
-LEVEL = 3
+SAMPLE = 4_000
+#: Distinct windows of each class that the dictionaries are trained on, at most; the first by a hash. Longer ones than LONGEST bytes are not trained on.
+WINDOWS = 200_000
+LONGEST = 4_096
+WINDOW = 4
+#: Bytes of the dictionaries.
+ORDINARY, TOXIC = 3 << 18, 24_576
+#: Bytes of a segment that the trainer picks, in coded text.
+SEGMENT, LONG_SEGMENT = 48, 96
+ROUNDS = 4
+#: A window counts as toxic in training from this distance on.
+APART = 6
+LEVEL = 16
 REACH = np.array([3, 4, 5, 6, 7, 8, 10, 12, 15])
 THRESHOLD = 0.3
-#: Windows whose distance a task remembers.
-MEMORY = 1_000_000
 
 
 def held_out(doc_id: str = "doc_id", of: int = 4, rest: int = 2):
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(of)) == rest
 
 
-def coded(w) -> bytes:
-    """Three bytes for each byte of some Words: itself, and two hashes of it and its neighbours in its word."""
+def coded(w) -> tuple[bytes, np.ndarray]:
+    """Three bytes for each byte of some Words without white space, and the words' bounds in them."""
     now = w.low.astype(np.uint32)
     back, ahead = np.full_like(now, 32), np.full_like(now, 32)
     back[1:], ahead[:-1] = now[:-1], now[1:]
     back[w.starts], ahead[w.ends - 1] = 32, 32
     mixed = (back << np.uint32(16) | now << np.uint32(8) | ahead) * np.uint32(0x85EBCA6B)
-    return np.stack([w.low, mixed >> np.uint32(16) & np.uint32(255), mixed >> np.uint32(24)], 1).astype(np.uint8).tobytes()
+    three = np.stack([w.low, mixed >> np.uint32(16) & np.uint32(255), mixed >> np.uint32(24)], 1).astype(np.uint8)
+    return three[~WHITE[w.low]].tobytes(), 3 * np.concatenate([[0], np.cumsum(w.ends - w.starts)])
 
 
-def _coded_words(words_of: list[bytes]) -> list[bytes]:
-    raw = np.frombuffer(b" ".join(words_of), np.uint8)
-    w = words(raw, np.array([0, len(raw)]))
-    data = coded(w)
-    return [data[3 * a : 3 * b] for a, b in zip(w.starts.tolist(), w.ends.tolist(), strict=True)]
+def windows(w, size: int = WINDOW) -> tuple[list[bytes], np.ndarray]:
+    """The coded windows of some Words, ``size`` words each (a text's last one may have fewer), and each text's range of windows."""
+    data, at = coded(w)
+    per_text = -(-w.counts // size)
+    bounds = np.concatenate([[0], np.cumsum(per_text)])
+    first = np.repeat(w.bounds[:-1], per_text) + size * (np.arange(bounds[-1]) - np.repeat(bounds[:-1], per_text))
+    last = np.minimum(first + size, np.repeat(w.bounds[1:], per_text))
+    return [data[a:b] for a, b in zip(at[first].tolist(), at[last].tolist(), strict=True)], bounds
 
 
-def _compressor(words_of: list[bytes]):
+def _trained(size: int, samples: list[bytes], segment: int) -> bytes:
+    """A dictionary of at most ``size`` bytes by zstandard's trainer; samples that are few or fit whole are the dictionary."""
     import zstandard as z
 
-    held = z.ZstdCompressionDict(b"".join(_coded_words(words_of)) or b" " * 8, dict_type=z.DICT_TYPE_RAWCONTENT)
-    p = z.ZstdCompressionParameters.from_level(LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0, window_log=18, min_match=3, format=z.FORMAT_ZSTD1_MAGICLESS)
+    if sum(map(len, samples)) <= size or len(samples) < 64:
+        return b"".join(samples)[:size]
+    return z.train_dictionary(size, samples, k=segment, d=8).as_bytes()
+
+
+def _compressor(content: bytes):
+    import zstandard as z
+
+    held = z.ZstdCompressionDict(content or b" " * 8, dict_type=z.DICT_TYPE_RAWCONTENT)
+    p = z.ZstdCompressionParameters.from_level(LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0, window_log=21, min_match=3, format=z.FORMAT_ZSTD1_MAGICLESS)
     held.precompute_compress(compression_params=p)
     return z.ZstdCompressor(dict_data=held, compression_params=p)
 
 
+def _lengths(compressor, said: list[bytes]) -> np.ndarray:
+    compress = compressor.compress
+    return np.fromiter((len(compress(x)) for x in said), np.int32, len(said))
+
+
 @dataclass
 class Model:
-    ordinary: list[bytes]
-    toxic: list[bytes]
-    weights: np.ndarray
+    ordinary: bytes
+    toxic: bytes
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(2 + 3 * len(REACH)))
 
     def ready(self) -> Model:
-        self._ordinary, self._toxic, self._known = _compressor(self.ordinary), _compressor(self.toxic), {}
+        self._ordinary, self._toxic = _compressor(self.ordinary), _compressor(self.ordinary + self.toxic)
         return self
 
-    def distance(self, window: bytes) -> int:
-        """How much shorter the toxic dictionary makes a coded window."""
-        return len(self._ordinary.compress(window)) - len(self._toxic.compress(window))
+    def distances(self, said: list[bytes]) -> np.ndarray:
+        """How much shorter the toxic dictionary makes each coded window."""
+        return _lengths(self._ordinary, said) - _lengths(self._toxic, said)
 
     def features(self, w) -> np.ndarray:
-        """Per text: log of words, and for each distance in REACH the log of the windows that reach it, and whether one or two do."""
-        n = len(w.bounds) - 1
-        _, first, of = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        if len(self._known) > MEMORY:
-            self._known = {}
-        data, known = coded(w), self._known
-        said = [data[3 * a : 3 * b] for a, b in zip(w.starts[first].tolist(), w.ends[first].tolist(), strict=True)]
-        for x in said:
-            if x not in known:
-                known[x] = self.distance(x)
-        d = np.fromiter(map(known.__getitem__, said), np.int64, len(said))[of] if said else np.zeros(0, np.int64)
-        doc = w.rows()
-        out = [np.log1p(w.counts)]
+        """Per text: log of windows, and for each distance in REACH the log of the windows that reach it, and whether one or two do."""
+        said, bounds = windows(w)
+        d = self.distances(said)
+        out = [np.log1p(np.diff(bounds))]
         for k in REACH:
-            c = np.bincount(doc[d >= k], minlength=n)
+            c = sums(d >= k, bounds)
             out += [np.log1p(c), (c >= 1) * 1.0, (c >= 2) * 1.0]
         return np.stack(out, 1)
 
@@ -111,41 +130,6 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _contexts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, dict[int, bytes]]:
-    """Word hashes, the number of distinct three-word contexts that each is the middle of, and the words."""
-    seen, said = [], {}
-    for _, _, w in each(column):
-        h = w.hashes()
-        wide = np.concatenate([np.ones(1, np.uint64), h, np.ones(1, np.uint64)])
-        pairs = np.unique(np.stack([grams(wide, 3), h], 1), axis=0) if len(h) else np.zeros((0, 2), np.uint64)
-        seen.append(pairs)
-        data = w.low.tobytes()
-        _, first = np.unique(h, return_index=True)
-        for k in first:
-            said.setdefault(int(h[k]), data[w.starts[k] : w.ends[k]])
-    seen = np.concatenate(seen) if seen else np.zeros((0, 2), np.uint64)
-    _, once = np.unique(seen[:, 0], return_index=True)
-    words, n = np.unique(seen[once, 1], return_counts=True)
-    return words, n, said
-
-
-def _dictionaries(toxic: pa.Array, ordinary: pa.Array) -> Model:
-    a, n, said_a = _contexts(toxic)
-    b, m, said_b = _contexts(ordinary)
-    at = np.minimum(np.searchsorted(b, a), max(len(b) - 1, 0))
-    other = np.where(b[at] == a, m[at], 0) if len(b) else np.zeros(len(a))
-    ratio = (n / max(n.sum(), 1)) / ((other + 0.5) / max(m.sum(), 1))
-    typical = [said_a[int(a[k])] for k in np.argsort(ratio, kind="stable") if n[k] >= CONTEXTS and ratio[k] >= RATIO]
-    order = np.lexsort((b, -m))
-    common = [said_b[int(b[k])] for k in order[:COMMON]][::-1]
-    model = Model(common, typical, np.zeros(2 + 3 * len(REACH))).ready()
-    met = [said_b[int(b[k])] for k in order[::-1]]
-    for _ in range(2):
-        lost = [x for x, c in zip(met, _coded_words(met), strict=True) if model.distance(c) >= REACH[0]]
-        model = Model(lost[-2000:] + model.ordinary, typical, model.weights).ready()
-    return model
-
-
 def _fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> np.ndarray:
     x = np.c_[np.ones(len(x)), x]
     w = np.zeros(x.shape[1])
@@ -156,41 +140,87 @@ def _fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> np.ndarra
     return w
 
 
-def train(text: pa.Array, label: np.ndarray) -> Model:
-    """A model of labelled texts: dictionaries of one half are calibrated on the other, then trained on all."""
-    pick = lambda mask: text.filter(pa.array(mask))
-    half = np.zeros(len(label), bool)
-    for k in (0, 1):
-        half[np.flatnonzero(label == k)[::2]] = True
-    tried = _dictionaries(pick(half & (label == 1)), pick(half & (label == 0)))
-    x = np.concatenate([np.zeros((0, 1 + 3 * len(REACH))), *(tried.features(w) for _, _, w in each(pick(~half)))])
-    y = np.concatenate([np.zeros(0), label[~half]])
-    weights = _fit_weights(x, y) if len(np.unique(y)) == 2 else np.array([np.log((label.sum() + 0.5) / (len(label) - label.sum() + 0.5))] + [0.0] * x.shape[1])
-    full = _dictionaries(pick(label == 1), pick(label == 0))
-    return Model(full.ordinary, full.toxic, weights)
+def train(toxic: list[list[bytes]], ordinary: list[bytes]) -> Model:
+    """Dictionaries out of distinct windows: of toxic texts, in two folds of texts, and of ordinary ones."""
+    base = _trained(ORDINARY, ordinary, LONG_SEGMENT)
+    picked = toxic
+    for turn in range(ROUNDS):
+        size, segment = (ORDINARY, LONG_SEGMENT) if turn == 0 else (TOXIC, SEGMENT)
+        plain = _compressor(base)
+        tried = [_compressor(base + _trained(size, p, segment)) for p in picked]
+        apart = [_lengths(plain, toxic[k]) - _lengths(tried[1 - k], toxic[k]) >= APART for k in (0, 1)]
+        lengths = _lengths(plain, ordinary)
+        shorter = np.minimum(_lengths(tried[0], ordinary), _lengths(tried[1], ordinary))
+        lost = [ordinary[i] for i in np.flatnonzero(lengths - shorter >= APART)]
+        picked = [[toxic[k][i] for i in np.flatnonzero(apart[k])] for k in (0, 1)]
+        base += _trained(ORDINARY, lost, SEGMENT)
+    return Model(base, _trained(TOXIC, picked[0] + picked[1], SEGMENT))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model of the labelled rows that are not held out; it is trained in one task on at most twice ``sample`` texts."""
-    known = labelled(docs, labels, "toxic", sample, where=~held_out("labelled_id")).orderBy("labelled_id").coalesce(1)
+def _distinct_windows(known: DataFrame, most: int) -> DataFrame:
+    """(label, fold, window): distinct windows of the labelled texts; those that ordinary texts hold are ordinary. At most ``most`` of each class."""
 
     def run(it):
-        got = [b for b in it if b.num_rows]
-        table = pa.Table.from_batches(got) if got else pa.table({"text": pa.array([], pa.string()), "label": pa.array([], pa.int32())})
-        model = train(table.column("text").combine_chunks().fill_null("") if got else table.column("text").combine_chunks(), table.column("label").to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.ordinary, model.toxic, model.weights))], pa.binary())], ["model"])
+        for batch in it:
+            label, fold = (batch.column(c).to_numpy() for c in ("label", "fold"))
+            for i, j, w in each(batch.column("text")):
+                said, bounds = windows(w)
+                of = np.repeat(np.arange(i, j), np.diff(bounds))
+                fit = np.fromiter((len(x) <= LONGEST for x in said), bool, len(said))
+                yield pa.RecordBatch.from_arrays([pa.array(label[of]), pa.array(fold[of]), pa.array(said, pa.binary())], ["label", "fold", "window"]).filter(pa.array(fit))
+
+    said = known.select("text", "label", "fold").mapInArrow(run, "label int, fold int, window binary")
+    once = said.groupBy("window").agg(F.min(F.struct("label", "fold")).alias("of")).select("of.label", "of.fold", "window").withColumn("place", F.xxhash64("window"))
+    parts = [once.where(F.col("label") == k).orderBy("place", "window").limit(most) for k in (0, 1)]
+    return cut(parts[0].unionByName(parts[1]), "windows", 1)
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = WINDOWS) -> Model:
+    """The model of the labelled rows that are not held out.
+
+    ``sample`` bounds the labelled rows of a class and ``most`` the distinct
+    windows of a class; one task trains the dictionaries on these windows. The
+    driver gets the dictionaries (at most a few MB) and the features of the
+    calibrating rows (at most ``sample`` of a class).
+    """
+    known = labelled(docs, labels, "toxic", sample, where=~held_out("labelled_id"))
+    place = F.pmod(F.xxhash64("labelled_id", F.lit(7)), F.lit(4))
+    known = known.withColumn("fold", place.cast("int"))
+    taught = _distinct_windows(known.where("fold < 2"), most)
+
+    def teach(it):
+        toxic, ordinary = [[], []], []
+        for batch in it:
+            for label, fold, window in zip(*(batch.column(c).to_pylist() for c in ("label", "fold", "window")), strict=True):
+                (toxic[fold] if label else ordinary).append(window)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(toxic, ordinary))], pa.binary())], ["model"])
 
-    row = known.select("text", "label").mapInArrow(run, "model binary").first()
-    # without a labelled row there may be no task at all
-    return Model(*pickle.loads(row[0])) if row else train(pa.array([], pa.string()), np.zeros(0, np.int32))
+    row = taught.select("label", "fold", "window", "place").coalesce(1).sortWithinPartitions("place", "window").mapInArrow(teach, "model binary").first()
+    model = pickle.loads(row[0]) if row else Model(b"", b"")
+
+    def measure(it):
+        model.ready()
+        for batch in it:
+            x = np.concatenate([np.zeros((0, len(model.weights) - 1)), *(model.features(w) for _, _, w in each(batch.column("text")))])
+            yield pa.RecordBatch.from_arrays([batch.column("labelled_id"), batch.column("label"), pa.array(list(x), pa.list_(pa.float64()))], ["labelled_id", "label", "x"])
+
+    rows = sorted(known.where("fold >= 2").select("labelled_id", "label", "text").mapInArrow(measure, "labelled_id long, label int, x array<double>").collect())
+    y = np.array([r["label"] for r in rows], float)
+    if len(np.unique(y)) == 2:
+        model.weights = _fit_weights(np.array([r["x"] for r in rows]), y)
+    else:
+        share = known.agg(F.sum("label"), F.count("*")).first()
+        toxic, n = share[0] or 0, share[1]
+        model.weights[0] = np.log((toxic + 0.5) / (n - toxic + 0.5))
+    return model
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted (1 from the threshold on).
 
     Reads ``doc_id`` and ``text``, of labels ``doc_id`` and ``toxic``. Null and
-    empty texts are scored as texts without windows. Without labelled rows of
-    both classes every score is near the labelled share. Repeated rows give
+    empty texts are scored as texts without windows. Without calibrating rows of
+    both classes every score is the labelled share. Repeated rows give
     repeated rows; a row without an id is not held out. An empty table gives an
     empty result.
     """

@@ -142,6 +142,26 @@ def test_toxicity(spark):
     assert right >= 0.97 * len(held)
 
 
+def test_toxicity_of_one_class(spark):
+    """Labels of one class only: every score is the labelled share, the same for all texts."""
+    rows = [(d, f"some text of number {d} " * 5) for d in range(40)]
+    for kind, expect in ((1, 1), (0, 0)):
+        known = spark.createDataFrame([(d, 1, kind) for d, _ in rows], "doc_id long, quality int, toxic int")
+        out = toxicity.toxicity(frame(spark, rows), known).collect()
+        assert len({round(r["score"], 9) for r in out}) == 1 and {r["predicted"] for r in out} == {expect}
+
+
+def test_toxicity_windows_hold_every_word(texts):
+    column = pa.array([t for _, t in texts] + [t for _, t in ODD_TEXTS], pa.string())
+    for i, j, w in kernel.each(column):
+        said, bounds = toxicity.windows(w)
+        assert len(bounds) == j - i + 1 and len(said) == bounds[-1]
+        for k, text in enumerate(column[i:j].to_pylist()):
+            mine = said[bounds[k] : bounds[k + 1]]
+            assert len(mine) == -(-len(brute.words(text)) // toxicity.WINDOW)
+            assert b"".join(mine)[::3] == b"".join(brute.words(text))
+
+
 def test_toxicity_odd(spark, odd, labels):
     out = toxicity.toxicity(odd, labels).collect()
     assert len(out) == len(ODD) and all(0 <= r["score"] <= 1 for r in out)
