@@ -216,6 +216,32 @@ def test_repeated_passages_between_hot_halves(spark):
     assert spans_of(suffix_dedup.repeated_passages(frame(spark, rows))) == expect
 
 
+@pytest.mark.parametrize("run", [1, 20, suffix_dedup.RUN])
+def test_repeated_passages_of_mosaics(spark, run):
+    """Texts of pieces of few sources, and of words with a period: equal to brute force, by sorted runs and by digests."""
+    r = random.Random(run)
+    pool = [[f"v{r.randrange(10**9)}" for _ in range(120)] for _ in range(3)]
+    rows = []
+    for d in range(60):
+        w = []
+        for _ in range(r.randrange(2, 5)):
+            source, a = r.choice(pool), r.randrange(90)
+            w += source[a : a + r.randrange(10, 80)] + [f"u{r.randrange(10**9)}" for _ in range(r.randrange(3))]
+        rows.append((d, " ".join(w)))
+    for period in range(1, 11):
+        unit = [f"p{period}_{k}" for k in range(period)]
+        rows += [(100 + 2 * period + k, " ".join(["a", "b", "c"][: k + 1] + unit * (400 // period) + [f"z{k}"])) for k in (0, 1)]
+    assert spans_of(suffix_dedup.repeated_passages(frame(spark, rows), run=run)) == brute.covered(rows)
+
+
+def test_repeated_passages_of_repeated_ids(spark):
+    """Each text of an id has its own spans; the id counts as one document."""
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(1, "x y " + a), (2, a), (2, b), (2, b), (2, "tiny text"), (3, b), (4, "c " * 80), (4, "c " * 90)]
+    out = sorted((r["doc_id"], r["start"], r["words"], r["first_doc_id"]) for r in suffix_dedup.repeated_passages(frame(spark, rows)).collect())
+    assert out == [(1, 2, 60, 1), (2, 0, 60, 1), (2, 0, 60, 2), (3, 0, 60, 2)]
+
+
 def test_repeated_passages_in_a_long_run(spark):
     """A long document repeats thousands of times, with other words between, what another document holds once; in several partitions."""
     r = random.Random(8)
