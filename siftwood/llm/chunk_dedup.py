@@ -1,7 +1,9 @@
 """Substring dedup by content-defined chunks.
 
-A chunk begins at each word where the least hash of KEY words lies in some
-window of WINDOW of them, so bounds depend on the words near them only, and
+A gear hash rolls over each text's words: it is shifted and the next word's code
+is added, and KEY words count. A chunk begins where the hash is the least of
+some window of WINDOW of them (a fixed pattern of its bits could stay out for
+long), so bounds depend on the words near them only, and
 insertions move no others. Any passage that two documents share is cut alike in
 both between the first and the last such word of its own windows. A stretch of
 adjacent chunks, as few as have MIN_WORDS words, is a repeat if some other
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernel import buffers, each, grams, mix, powers
+from .kernel import buffers, each, gear, mix, powers, words
 from .shared import cut, text_of
 
 KEY = 4
@@ -24,6 +26,7 @@ KEY = 4
 WINDOW = 10
 #: Whole chunks cover a passage but for WINDOW - 1 words before them and WINDOW + KEY - 1 after, at most: 28 words of any 50, so none is missed.
 MIN_WORDS = 18
+ROW = "__siftwood_row__"
 _POSITION = np.uint64((1 << 28) - 1)
 _ONE, _TWO = 0x5851F42D4C957F2D, 0x14057B7EF767814F | 1
 
@@ -32,7 +35,7 @@ def _chunks(w) -> tuple[np.ndarray, np.ndarray]:
     """First words of the chunks, and each text's range of chunks."""
     first = np.zeros(len(w.starts), bool)
     first[w.bounds[:-1][w.counts > 0]] = True
-    least = grams(w.hashes(), KEY)
+    least = gear(w.hashes(), KEY)
     if len(least) >= WINDOW:
         least = (least & ~_POSITION) | np.arange(len(least), dtype=np.uint64)
         span = 1
@@ -68,11 +71,14 @@ def _digests(h: np.ndarray, at: np.ndarray, n: np.ndarray, base: int) -> np.ndar
 
 
 def chunks(docs: DataFrame, both: bool = True) -> DataFrame:
-    """(doc_id, d1[, d2, start, words]): stretches of chunks of the texts with an id, by digest; start and words count words."""
+    """(doc_id, d1[, row, d2, start, words]): stretches of chunks of the texts with an id, by digest; start and words count words.
+
+    ``row`` tells texts of one id apart.
+    """
 
     def run(it):
         for batch in it:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, rows = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", ROW))
             for i, j, w in each(batch.column("text")):
                 if not len(w.starts):
                     continue
@@ -80,32 +86,37 @@ def chunks(docs: DataFrame, both: bool = True) -> DataFrame:
                 at, n, doc = _stretches(*_chunks(w), w)
                 cols = [pa.array(ids[i:j][doc], pa.int64()), pa.array(_digests(h, at, n, _ONE))]
                 if both:
-                    cols += [pa.array(_digests(h, at, n, _TWO)), pa.array(at - w.bounds[doc], pa.int64()), pa.array(n, pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "d1", "d2", "start", "words"][: len(cols)])
+                    cols += [pa.array(rows[i:j][doc], pa.int64()), pa.array(_digests(h, at, n, _TWO)), pa.array(at - w.bounds[doc], pa.int64()), pa.array(n, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "d1", "row", "d2", "start", "words"][: len(cols)])
+
+    source = text_of(docs, _row().alias(ROW)).where("doc_id is not null")
+    return source.mapInArrow(run, "doc_id long, d1 long" + ", row long, d2 long, start long, words long" * both)
 
-    source = text_of(docs).where("doc_id is not null")
-    return source.mapInArrow(run, "doc_id long, d1 long" + ", d2 long, start long, words long" * both)
+
+def _row():
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def _repeated(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, words, first): stretches that several documents hold, with the smallest id that does."""
+    """(doc_id, row, start, words, first): stretches that several documents hold, with the smallest id that does."""
     often = chunks(docs, both=False).groupBy("d1").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("d1")
     found = cut(chunks(docs).join(often, "d1", "left_semi"), "chunks")
     first = found.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    return found.join(first, ["d1", "d2"]).select("doc_id", "start", "words", "first")
+    first = cut(first, "first")  # read back, so that a hot digest's side of the join can be split
+    return found.join(first, ["d1", "d2"]).select("doc_id", "row", "start", "words", "first")
 
 
 def _runs(repeated: DataFrame, min_words: int) -> DataFrame:
     """Runs of overlapping or adjacent stretches of min_words words or more."""
-    w = Window.partitionBy("doc_id").orderBy("start", "words")
+    w = Window.partitionBy("doc_id", "row").orderBy("start", "words")
     upto = lambda end: F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     end = F.col("start") + F.col("words")
     runs = repeated.withColumn("new", F.coalesce(upto(end) < F.col("start"), F.lit(True)).cast("long"))
     # words that some smaller id holds too, beyond those of the stretches before
     later = F.when(F.col("first") < F.col("doc_id"), end)
     runs = runs.withColumns({"run": F.sum("new").over(w), "later": F.greatest(later - F.greatest("start", upto(later)), F.lit(0))})
-    runs = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("words")) - F.min("start")).alias("words"), F.min("first").alias("first_doc_id"), F.sum("later").alias("removed_words"))
-    return runs.where(F.col("words") >= min_words).select("doc_id", "start", "words", "first_doc_id", "removed_words")
+    runs = runs.groupBy("doc_id", "row", "run").agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("words")) - F.min("start")).alias("words"), F.min("first").alias("first_doc_id"), F.sum("later").alias("removed_words"))
+    return runs.where(F.col("words") >= min_words).select("doc_id", "row", "start", "words", "first_doc_id", "removed_words")
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -115,10 +126,11 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ``removed_words`` counts the words whose stretch some smaller id holds too.
     Stretches have MIN_WORDS words at least, so a smaller min_words gives no more.
     Repeats within one document don't count, nor do rows without an id or
-    text; rows that share an id are one document. Only ``doc_id`` and ``text``
+    text. Rows that share an id are one document; each of its texts has runs of
+    its own, and equal rows have them once. Only ``doc_id`` and ``text``
     are read. An empty table gives an empty result.
     """
-    return _runs(_repeated(docs), min_words)
+    return _runs(_repeated(docs), min_words).drop("row")
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -130,8 +142,8 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     runs = _runs(_repeated(docs).where(F.col("first") < F.col("doc_id")), min_words)
     held, spans = "__siftwood_doc__", "__siftwood_runs__"
-    runs = runs.groupBy(F.col("doc_id").alias(held)).agg(F.array_sort(F.collect_list(F.struct("start", "words"))).alias(spans))
-    wide = docs.join(runs, docs.doc_id == F.col(held), "left").drop(held)
+    runs = runs.groupBy(F.col("doc_id").alias(held), F.col("row").alias(ROW)).agg(F.array_sort(F.collect_list(F.struct("start", "words"))).alias(spans))
+    wide = docs.join(runs, (docs.doc_id == F.col(held)) & (_row() == F.col(ROW)), "left").drop(held, ROW)
     names = docs.columns
 
     def run(it):
@@ -151,8 +163,6 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def _without(raw: np.ndarray, runs: list[dict]) -> str:
-    from .kernel import words
-
     w = words(raw, np.array([0, len(raw)]))
     keep = np.ones(len(raw), bool)
     for r in runs:

@@ -23,7 +23,6 @@ LOWER[65:91] += 32
 
 _random = np.random.Generator(np.random.PCG64(20240229))
 BYTE_CODE = _random.integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-GEAR = _random.integers(0, 2**32, 256, np.uint64).astype(np.uint32)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
@@ -143,13 +142,18 @@ def grams(hashes: np.ndarray, n: int, seed: int = 0x2545F4914F6CDD1D) -> np.ndar
     return mix(out)
 
 
-def gear(low: np.ndarray) -> np.ndarray:
-    """Rolling gear hash: each byte's hash is twice the one before plus the byte's code; 16 bytes count."""
-    h = GEAR[low]
-    for step in (1, 2, 4, 8):
-        if len(h) > step:
-            h[step:] = h[step:] + (h[:-step] << np.uint32(step))
-    return h
+def gear(codes: np.ndarray, n: int) -> np.ndarray:
+    """Rolling gear hash over words: the hash so far, shifted by 64 / n bits, plus the word's code, so that n words count.
+
+    Item i is the hash of the n words from i on. Its upper bits depend on all of
+    them; ranges that leave a text are the caller's to skip.
+    """
+    if len(codes) < n:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(len(codes) - n + 1, np.uint64)
+    for j in range(n):
+        out = (out << np.uint64(64 // n)) + codes[j : len(codes) - n + 1 + j]
+    return out
 
 
 def lists(bounds: np.ndarray, values: np.ndarray) -> pa.Array:

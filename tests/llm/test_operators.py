@@ -310,6 +310,30 @@ def test_remove_repeats(spark, odd):
     assert chunk_dedup.repeats(empty(spark)).count() == 0 and chunk_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+def test_remove_repeats_of_repeated_ids(spark):
+    """Each text of an id loses its own repeats: no crash, no other words cut."""
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(1, a), (2, "head " * 600 + a + " tail"), (2, "tiny text"), (2, b), (3, "x " + b), (2, "tiny text")]
+    out = sorted((r["doc_id"], " ".join(sorted(set(r["text"].split()) - set(a.split()[9:-13]) - set(b.split()[9:-13])))) for r in chunk_dedup.remove_repeats(frame(spark, rows)).collect())
+    assert len(out) == len(rows) and out.count((2, "text tiny")) == 2
+    got = {r["text"] for r in chunk_dedup.remove_repeats(frame(spark, rows)).collect()}
+    assert a in got and b in got and "tiny text" in got
+    cleaned = next(t for t in got if t.startswith("head"))
+    assert cleaned.startswith("head " * 600) and cleaned.endswith(" tail") and not set(a.split()[9:-13]) & set(cleaned.split())
+
+
+def test_gear_rolls(texts):
+    """The rolling sum equals its definition word by word, and only KEY words count."""
+    w = next(w for _, _, w in kernel.each(pa.array([texts[0][1]])))
+    h, n = w.hashes(), chunk_dedup.KEY
+    rolled, out = 0, kernel.gear(h, n)
+    for i, x in enumerate(h.tolist()):
+        rolled = ((rolled << 64 // n) + x) % 2**64
+        if i >= n - 1:
+            assert int(out[i - n + 1]) == sum(h.tolist()[i - k] << 64 // n * k for k in range(n)) % 2**64
+    assert (rolled - int(out[-1])) % 2**64 == 0
+
+
 def test_first_holder_keeps_its_text(spark):
     """A passage next to a repeated one stays in the document that is the first to hold it."""
     one, two = (" ".join(f"{p}{k} {p}v{k * 7}" for k in range(40)) for p in ("p", "q"))
