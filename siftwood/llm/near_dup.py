@@ -66,7 +66,7 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
 
 
 def sketches(docs: DataFrame, k: int = K, n: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2, sketch): set size, signature and the k smallest shingle hashes in order."""
+    """(doc_id, row, n_shingles, s1, s2, sketch): a hash of the text, set size, signature and the k smallest shingle hashes in order."""
 
     def run(it):
         for batch in it:
@@ -79,9 +79,9 @@ def sketches(docs: DataFrame, k: int = K, n: int = SHINGLE) -> DataFrame:
                 parts.append(s[:k].copy())
             bounds = np.cumsum([0, *map(len, parts)])
             values = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), lists(bounds, values)], ["doc_id", "n_shingles", "s1", "s2", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(sizes, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), lists(bounds, values)], ["doc_id", "row", "n_shingles", "s1", "s2", "sketch"])
 
-    return text_of(docs).mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, sketch array<long>")
+    return text_of(docs, _row().alias("row")).mapInArrow(run, "doc_id long, row long, n_shingles long, s1 long, s2 long, sketch array<long>")
 
 
 def forest(count: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
@@ -186,11 +186,12 @@ def estimated_links(nodes: DataFrame, k: int = K) -> DataFrame:
     return _in_blocks(members, "v", "blocks").select("v", "i", "j", "node", "n", "sketch").mapInArrow(run, "a long, b long").distinct()
 
 
-def exact_links(docs: DataFrame, clusters: DataFrame, sizes: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """Edges (a, b) that connect within each cluster what full sets link. clusters: (node, component); sizes: (node, n)."""
-    weighed = clusters.join(sizes, "node")
+def exact_links(docs: DataFrame, clusters: DataFrame, nodes: DataFrame, n: int = SHINGLE) -> DataFrame:
+    """Edges (a, b) that connect within each cluster what full sets link. clusters: (node, component); nodes: (node, doc_id, row, n)."""
+    weighed = clusters.join(nodes, "node")
     blocks = weighed.groupBy("component").agg(F.greatest(F.ceil(F.sum("n") / SET_BLOCK), F.ceil(F.count("*") / (2 * LIST_BLOCK))).cast("long").alias("blocks"))
-    members = clusters.join(blocks, "component").join(text_of(docs).withColumnRenamed("doc_id", "node"), "node").select("component", "blocks", "node", "text")
+    texts = text_of(docs, _row().alias("row"))
+    members = weighed.join(blocks, "component").join(texts, ["doc_id", "row"]).select("component", "blocks", "node", "text")
 
     def fill(it):
         for batch in it:
@@ -213,38 +214,69 @@ def exact_links(docs: DataFrame, clusters: DataFrame, sizes: DataFrame, n: int =
     return _in_blocks(filled, "component", "blocks").select("component", "i", "j", "node", "shingles").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = K, n: int = SHINGLE) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
+def _row():
+    """Tells texts of one id apart."""
+    return F.xxhash64(F.col("text").cast("string"))
 
-    Only ``doc_id`` and ``text`` are read; other columns, whatever their names,
-    are left out. A null text is an empty one; documents without words are
-    linked with nothing. Repeated rows are copies; rows that share an id are
-    one node of the graph. A row without an id is linked with nothing, has a
-    null component_id and is kept. An empty table gives an empty result.
-    """
+
+def _components(docs: DataFrame, k: int, n: int) -> DataFrame:
+    """(doc_id, row, n_shingles, component_id, kept), a row per document."""
     base = cut(sketches(docs, k, n), "sketches")
     full = base.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
-    nodes = full.join(classes.select("rep"), full.doc_id == F.col("rep"), "left_semi").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch")
+    # a node stands for a set: it is the set's smallest id, or a number of its own (below all ids) where that id has unlike texts
+    twice = cut(full.groupBy("doc_id").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo < hi").select(F.col("doc_id").alias("twice")), "twice", 4)
+    own = -F.shiftrightunsigned(F.xxhash64("doc_id", "row"), 2) - 2**61
+    full = full.join(twice, F.col("doc_id") == F.col("twice"), "left").withColumn("node", F.when(F.col("twice").isNull(), F.col("doc_id")).otherwise(own)).drop("twice")
+    classes = full.groupBy("s1", "s2", "n_shingles").agg(F.min(F.struct("doc_id", "row", "node")).alias("of")).select("s1", "s2", "n_shingles", F.col("of.node").alias("rep"), F.col("of.doc_id").alias("rep_id"))
+    nodes = full.join(classes.select("rep"), full.node == F.col("rep"), "left_semi").select("node", "doc_id", "row", F.col("n_shingles").alias("n"), "sketch")
     # what follows has a row per node or link of a forest: few files hold it
     few = files_for(base.count())
     rough = cut(estimated_links(nodes, k), "estimated", few)
     clusters = cut(components(rough, files=few), "clusters", few)
-    exact = cut(exact_links(docs, clusters, nodes.select("node", "n").distinct(), n), "exact", few)
+    exact = cut(exact_links(docs, clusters, nodes.drop("sketch").distinct(), n), "exact", few)
     labels = components(exact, files=few)
-    plain = base.select("doc_id", "n_shingles", "s1", "s2")
-    found = plain.join(classes, ["s1", "s2"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    found = found.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id")))
+    # the smallest id of each component; its smallest node is that id, but for nodes with numbers of their own
+    ids = nodes.select("node", "doc_id").distinct()
+    least = labels.join(ids, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    labels = labels.join(least, "component").select(F.col("node").alias("rep"), "component_id")
+    found = base.drop("sketch").join(classes, ["s1", "s2", "n_shingles"], "left").join(labels, "rep", "left")
+    found = found.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "rep_id")).otherwise(F.col("doc_id")))
     found = found.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
-    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return found.select("doc_id", "row", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, k: int = K, n: int = SHINGLE) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
+
+    Only ``doc_id`` and ``text`` are read; other columns, whatever their names,
+    are left out. A null text is an empty one; documents without words are
+    linked with nothing. Repeated rows are copies. Unlike texts of one id are
+    linked only as their sets are, so rows of an id can be in several groups. A row without an id is linked with nothing, has a
+    null component_id and is kept. An empty table gives an empty result.
+
+    Sets are told equal by their size and 128 bits taken over the full sets; all
+    other links are confirmed on the sets themselves.
+    """
+    return _components(docs, k, n).drop("row")
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = K, n: int = SHINGLE) -> DataFrame:
     """The rows of docs, with all their columns, of which each group keeps its smallest doc_id.
 
-    Of repeated rows with the id that stays, one row stays (the smallest by its
-    text and then by its other columns); rows without an id all stay.
+    Unlike texts of the id that stays all stay, but for those that are in another
+    id's group; of rows with that id and one text, one stays (the smallest by its
+    other columns, as JSON). Rows without an id all stay. The same rows stay
+    however they are dealt out.
     """
-    kept = near_duplicates(docs, k, n).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    held, row, place = "__siftwood_doc__", "__siftwood_row__", "__siftwood_place__"
+    kept = _components(docs, k, n).where("kept and doc_id is not null").groupBy(F.col("doc_id").alias(held), F.col("row").alias(row)).agg(F.count("*").alias("n"))
+    kept = cut(kept, "kept")
+    on = lambda t: (F.col("doc_id") == t[held]) & (_row() == t[row])
+    again = kept.where("n > 1")
+    if not again.limit(1).count():
+        return docs.join(kept, on(kept), "left_semi").unionByName(docs.where("doc_id is null"))
+    once = kept.where("n = 1")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.to_json(F.struct(*others)) if others else F.lit(0)
+    ranked = docs.join(again, on(again), "left_semi").withColumn(row, _row()).withColumn(place, F.row_number().over(Window.partitionBy("doc_id", row).orderBy(order)))
+    return docs.join(once, on(once), "left_semi").unionByName(ranked.where(F.col(place) == 1).drop(row, place)).unionByName(docs.where("doc_id is null"))
