@@ -77,7 +77,8 @@ FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN least l ON l.a =
     "op6_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-    ('0x' || substr(md5('20240229:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT AS draw FROM documents),
+    (('0x' || substr(md5('20240229:' || coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, '')))), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM documents),
+graded AS (SELECT *, length(bin(size)) AS grade FROM sized),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (
   SELECT *, 1.0::DOUBLE + (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 AS weight, 3.0::DOUBLE * source_size AS cap FROM sources),
@@ -86,11 +87,25 @@ ahead AS (
   FROM weighed WINDOW w AS (ORDER BY cap / weight, weight, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 goal AS (
   SELECT source, source_size, CASE WHEN unit * weight >= cap THEN cap ELSE (SELECT arg_min(unit, cap / weight) FROM ahead WHERE unit * weight < cap) * weight END AS target FROM ahead),
-due AS (SELECT *, least(floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END + 1e-12), 3)::BIGINT AS whole FROM goal),
+grades AS (
+  SELECT g.source, g.grade, o.source_size, o.target, g.words,
+    (o.target - 3 * coalesce(sum(g.words) OVER (PARTITION BY g.source ORDER BY g.grade DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT)
+      / nullif((sum(g.words * g.grade) OVER (PARTITION BY g.source ORDER BY g.grade DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT, 0) AS factor
+  FROM (SELECT source, grade, sum(size)::BIGINT AS words FROM graded GROUP BY source, grade) g JOIN goal o ON g.source IS NOT DISTINCT FROM o.source),
+going AS (SELECT source, max(grade) AS top, arg_max(factor, grade) AS factor FROM grades WHERE NOT coalesce(factor * grade >= 3, false) AND factor IS NOT NULL GROUP BY source),
+due AS (
+  SELECT r.source, r.grade, r.source_size, r.target, r.words,
+    least(greatest(CASE WHEN r.grade > coalesce(g.top, 0) THEN 3.0::DOUBLE ELSE g.factor * r.grade END, 0), 3.0::DOUBLE) AS due
+  FROM grades r LEFT JOIN going g ON r.source IS NOT DISTINCT FROM g.source),
+certain AS (SELECT *, floor(due + 1e-6)::BIGINT AS whole, CASE WHEN due - floor(due + 1e-6) > 1e-6 THEN due - floor(due + 1e-6) ELSE 0 END AS p FROM due),
+lacks AS (SELECT source, greatest(any_value(target) - sum(whole * words)::BIGINT, 0) AS lack FROM certain GROUP BY source),
 ranked AS (
-  SELECT s.*, d.source_size, d.target, d.whole, greatest(d.target - d.whole * d.source_size, 0) AS lack,
-    sum(size) OVER (PARTITION BY s.source ORDER BY draw, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
-  FROM sized s JOIN due d ON s.source IS NOT DISTINCT FROM d.source)
+  SELECT d.doc_id, d.size, c.source, c.source_size, c.target, c.whole, c.p, l.lack,
+    CASE WHEN c.p > 0 THEN (d.u / (1 - d.u)) / (c.p / (1 - c.p)) END AS odds
+  FROM graded d JOIN certain c ON d.source IS NOT DISTINCT FROM c.source AND d.grade = c.grade JOIN lacks l ON d.source IS NOT DISTINCT FROM l.source),
+placed AS (
+  SELECT *, sum(CASE WHEN p > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY odds NULLS LAST, doc_id NULLS FIRST, size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+    sum(size) OVER (PARTITION BY source, odds, doc_id, size) AS tied FROM ranked)
 SELECT doc_id, size, source_size, target,
-  (CASE WHEN size = 0 THEN 0 ELSE least(whole + (upto - size / 2 <= lack AND lack > 0)::INT, 3) * size END)::BIGINT AS taken FROM ranked""",
+  (CASE WHEN size = 0 THEN 0 ELSE least(whole + (p > 0 AND upto - tied / 2 <= lack)::INT, 3) * size END)::BIGINT AS taken FROM placed""",
 }

@@ -489,10 +489,63 @@ def test_mixing(docs):
     for (_, target, size), mine in by.items():
         assert sum(r["size"] for r in mine) == size
         assert abs(sum(r["taken"] for r in mine) - target) <= max(r["size"] for r in mine) / 2 + 1
-        assert max(r["copies"] for r in mine if r["size"]) - min(r["copies"] for r in mine if r["size"]) <= 1
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs.repartition(3)).collect()))
 
 
+def pareto(mine, target, most=3):
+    """Copies of (doc_id, size) by definition: the factor by bisection, odds ratios in one sorted list."""
+    grade = {d: size.bit_length() or 1 for d, size in mine}
+    due_of = lambda f: {d: min(float(most), f * grade[d]) for d, _ in mine}
+    lo, hi = 0.0, float(most)
+    for _ in range(200):
+        f = (lo + hi) / 2
+        lo, hi = (f, hi) if sum(due_of(f)[d] * size for d, size in mine) < target else (lo, f)
+    whole, p = {}, {}
+    for d, due in due_of(hi).items():
+        whole[d] = math.floor(due + 1e-6)
+        p[d] = due - whole[d] if due - whole[d] > 1e-6 else 0.0
+    lack = max(target - sum(whole[d] * size for d, size in mine), 0)
+    odds = {}
+    for d, _ in mine:
+        u = (int(hashlib.md5(f"{mixing.SEED}:{d}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        if p[d]:
+            odds[d] = (u / (1 - u)) / (p[d] / (1 - p[d]))
+    upto, extra = 0, set()
+    for _, d, size in sorted((odds[d], d, size) for d, size in mine if d in odds):
+        upto += size
+        if upto - size / 2 <= lack:
+            extra.add(d)
+    return {d: whole[d] + (d in extra) if size else 0 for d, size in mine}, p
+
+
+def test_mixing_is_pareto_sampling(docs):
+    """Unequal inclusion probabilities, ranked by odds ratios: equal to the plain version, source by source."""
+    by: dict = {}
+    for r in mixing.mix(docs).collect():
+        by.setdefault((r["source"], r["target"]), []).append(r)
+    unequal = 0
+    for (_, target), mine in by.items():
+        expect, p = pareto([(r["doc_id"], r["size"]) for r in mine], target)
+        assert {r["doc_id"]: r["copies"] for r in mine} == expect
+        unequal += len({round(x, 9) for x in p.values() if x}) > 1
+    assert unequal
+
+
+def test_mixed_takes_each_row_by_itself(spark):
+    """Rows that share an id are taken as mix() says of each; the words taken stay near the target."""
+    r = random.Random(4)
+    rows = [(d // 3, " ".join(["w"] * r.randrange(1, 200)), "en", "ab"[d % 2], 0) for d in range(300)] + [(None, "no id " * k, "en", "b", 0) for k in range(1, 40)]
+    df = spark.createDataFrame(rows, DDL)
+    said = Counter()
+    for x in mixing.mix(df).collect():
+        said[x["doc_id"], x["source"], x["size"]] += x["copies"]
+    got = Counter((x["doc_id"], x["source"], len(x["text"].split())) for x in mixing.mixed(df).collect())
+    assert got == +said
+    for source in "ab":
+        mine = [x for x in mixing.mix(df).collect() if x["source"] == source]
+        assert abs(sum(x["taken"] for x in mine) - mine[0]["target"]) <= 400
+
+
 def test_mixing_odd(spark, odd):
     rows = mixing.mix(odd).collect()
     assert len(rows) == len(ODD) and all(r["taken"] == 0 for r in rows if r["doc_id"] in (1, 2, 8))
