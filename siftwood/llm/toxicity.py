@@ -5,7 +5,9 @@ hashes of it with its neighbours in its word, so that chance matches of
 syllables are rare and short words weigh more than a match costs. Its windows
 are WINDOW words each. A window's distance is the length that it compresses to
 with the ordinary dictionary less the length with the toxic one; how many of a
-text's windows reach each distance in REACH is calibrated into its score.
+text's windows reach each distance in REACH is calibrated into its score. All
+windows are compressed with both dictionaries by a fast search first; those that
+the toxic one shortens by NEAR bytes are compressed again by a thorough one.
 
 Training takes the labelled texts in two halves. On one, zstandard trains the
 ordinary dictionary from windows of ordinary text, and the toxic one from
@@ -39,12 +41,14 @@ WINDOWS = 200_000
 LONGEST = 4_096
 WINDOW = 4
 #: Bytes of the dictionaries.
-ORDINARY, TOXIC = 3 << 18, 24_576
+ORDINARY, TOXIC = 1 << 18, 6_144
 #: Bytes of a segment that the trainer picks, in coded text.
-SEGMENT, LONG_SEGMENT = 48, 96
+SEGMENT, LONG_SEGMENT = 24, 96
 ROUNDS = 4
 #: A window counts as toxic in training from this distance on.
-APART = 6
+APART = 8
+#: Distance by the fast search from which on the thorough one is made.
+NEAR = 4
 LEVEL = 16
 REACH = np.array([3, 4, 5, 6, 7, 8, 10, 12, 15])
 THRESHOLD = 0.3
@@ -84,20 +88,35 @@ def _trained(size: int, samples: list[bytes], segment: int) -> bytes:
     return z.train_dictionary(size, samples, k=segment, d=8).as_bytes()
 
 
-def _compressor(content: bytes):
-    import zstandard as z
+class Compressor:
+    """Compressed lengths with a dictionary, by a fast search and by a thorough one."""
+
+    def __init__(self, content: bytes):
+        import zstandard as z
+
+        def made(**how):
+            held = z.ZstdCompressionDict(content or b" " * 8, dict_type=z.DICT_TYPE_RAWCONTENT)
+            p = z.ZstdCompressionParameters.from_level(LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0, window_log=20, min_match=3, format=z.FORMAT_ZSTD1_MAGICLESS, **how)
+            held.precompute_compress(compression_params=p)
+            return z.ZstdCompressor(dict_data=held, compression_params=p).compress
 
-    held = z.ZstdCompressionDict(content or b" " * 8, dict_type=z.DICT_TYPE_RAWCONTENT)
-    p = z.ZstdCompressionParameters.from_level(LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0, window_log=21, min_match=3, format=z.FORMAT_ZSTD1_MAGICLESS)
-    held.precompute_compress(compression_params=p)
-    return z.ZstdCompressor(dict_data=held, compression_params=p)
+        self.fast, self.thorough = made(strategy=z.STRATEGY_DFAST, chain_log=19, hash_log=19), made()
 
 
-def _lengths(compressor, said: list[bytes]) -> np.ndarray:
-    compress = compressor.compress
+def _lengths(compress, said: list[bytes]) -> np.ndarray:
     return np.fromiter((len(compress(x)) for x in said), np.int32, len(said))
 
 
+def _distances(ordinary: Compressor, toxic: Compressor, said: list[bytes]) -> np.ndarray:
+    """How much shorter the toxic dictionary makes each coded window; 0 where the fast search finds less than NEAR."""
+    out = _lengths(ordinary.fast, said) - _lengths(toxic.fast, said)
+    near = np.flatnonzero(out >= NEAR)
+    out[out < NEAR] = 0
+    some = [said[k] for k in near]
+    out[near] = _lengths(ordinary.thorough, some) - _lengths(toxic.thorough, some)
+    return out
+
+
 @dataclass
 class Model:
     ordinary: bytes
@@ -105,12 +124,11 @@ class Model:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(2 + 3 * len(REACH)))
 
     def ready(self) -> Model:
-        self._ordinary, self._toxic = _compressor(self.ordinary), _compressor(self.ordinary + self.toxic)
+        self._ordinary, self._toxic = Compressor(self.ordinary), Compressor(self.ordinary + self.toxic)
         return self
 
     def distances(self, said: list[bytes]) -> np.ndarray:
-        """How much shorter the toxic dictionary makes each coded window."""
-        return _lengths(self._ordinary, said) - _lengths(self._toxic, said)
+        return _distances(self._ordinary, self._toxic, said)
 
     def features(self, w) -> np.ndarray:
         """Per text: log of windows, and for each distance in REACH the log of the windows that reach it, and whether one or two do."""
@@ -146,14 +164,11 @@ def train(toxic: list[list[bytes]], ordinary: list[bytes]) -> Model:
     picked = toxic
     for turn in range(ROUNDS):
         size, segment = (ORDINARY, LONG_SEGMENT) if turn == 0 else (TOXIC, SEGMENT)
-        plain = _compressor(base)
-        tried = [_compressor(base + _trained(size, p, segment)) for p in picked]
-        apart = [_lengths(plain, toxic[k]) - _lengths(tried[1 - k], toxic[k]) >= APART for k in (0, 1)]
-        lengths = _lengths(plain, ordinary)
-        shorter = np.minimum(_lengths(tried[0], ordinary), _lengths(tried[1], ordinary))
-        lost = [ordinary[i] for i in np.flatnonzero(lengths - shorter >= APART)]
-        picked = [[toxic[k][i] for i in np.flatnonzero(apart[k])] for k in (0, 1)]
-        base += _trained(ORDINARY, lost, SEGMENT)
+        plain = Compressor(base)
+        tried = [Compressor(base + _trained(size, p, segment)) for p in picked]
+        picked = [[x for x, d in zip(toxic[k], _distances(plain, tried[1 - k], toxic[k]), strict=True) if d >= APART] for k in (0, 1)]
+        shorter = np.maximum(_distances(plain, tried[0], ordinary), _distances(plain, tried[1], ordinary))
+        base += _trained(ORDINARY, [x for x, d in zip(ordinary, shorter, strict=True) if d >= APART], SEGMENT)
     return Model(base, _trained(TOXIC, picked[0] + picked[1], SEGMENT))
 
 
