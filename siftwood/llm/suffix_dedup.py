@@ -35,8 +35,8 @@ KEY = 8
 WINDOW = MIN_WORDS - KEY + 1
 #: Words around a key that are in MIN_WORDS words with it.
 SIDE = MIN_WORDS - KEY
-#: Suffixes of one key that one task sorts and compares at once, at most.
-RUN = 10_000
+#: Suffixes of one key that one task sorts and compares at once, at most: about 100 MB and a second.
+RUN = 100_000
 _POSITION = np.uint64((1 << 28) - 1)
 _BASE = 0x5851F42D4C957F2D
 
