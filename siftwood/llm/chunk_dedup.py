@@ -100,9 +100,10 @@ def _row():
 def _repeated(docs: DataFrame) -> DataFrame:
     """(doc_id, row, start, words, first): stretches that several documents hold, with the smallest id that does."""
     often = chunks(docs, both=False).groupBy("d1").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("d1")
+    often = cut(often, "often")  # this table and the next are read back, so that a hot digest's side of a join can be split
     found = cut(chunks(docs).join(often, "d1", "left_semi"), "chunks")
     first = found.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    first = cut(first, "first")  # read back, so that a hot digest's side of the join can be split
+    first = cut(first, "first")
     return found.join(first, ["d1", "d2"]).select("doc_id", "row", "start", "words", "first")
 
 
