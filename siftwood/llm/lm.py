@@ -11,8 +11,8 @@ Counts are taken over all training texts. A token's count comes back to the
 texts through blocks: a block of documents is joined with the distinct words it
 holds, not with every one of its tokens.
 
-Training: each batch of texts runs minibatches over one of ``rounds`` parts of
-its texts (another one in every round) from common parameters, and the
+Training: each task runs minibatches over one of ``rounds`` parts of
+its texts (another one in every round) from common parameters, and the tasks'
 parameters are averaged by the number of tokens seen; so each training text is
 trained on once. Scoring: for the distinct contexts of a
 block, a matrix product gives all classes' scores, and their log-sum normalises.
@@ -27,20 +27,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import Words, each
+from .kernel import Words, buffers, each
 from .shared import cut, text_of
 from .totals import dense_totals
 
-CORE = 768
+#: Words that are classes of their own.
+CORE = 2048
 RARE = 48
 DIM = 24
 NOISE = 64
 BATCH = 1024
 RATE = 0.25
-ROUNDS = 2
-#: Rows of a block, within a task's input.
-BLOCK_BITS = 12
-CONTEXTS = 8192
+ROUNDS = 3
+#: A block ends after so many rows or bytes of text of a task's input.
+BLOCK_BITS, BLOCK_BYTES = 12, 1 << 24
+#: Contexts whose scores of all classes are made at once: what a processor's cache holds.
+CONTEXTS = 384
 END_HASH = np.uint64(0x9AE16A3B2F90404F)
 
 
@@ -112,6 +114,7 @@ class Model:
     def log_probabilities(self, full: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Natural log-probability of each class after its context, normalised over all classes."""
         a1, a2, q, b = (self.params[k].astype(np.float32) for k in ("a1", "a2", "q", "b"))
+        q = np.ascontiguousarray(q.T)
         pair = one.astype(np.int64) * (self.classes + 1) + two
         distinct, which = np.unique(pair, return_inverse=True)
         order = np.argsort(which, kind="stable")
@@ -120,12 +123,15 @@ class Model:
         for i in range(0, len(distinct), CONTEXTS):
             d = distinct[i : i + CONTEXTS]
             r = a1[d // (self.classes + 1)] + a2[d % (self.classes + 1)]
-            s = r @ q.T + b
+            s = r @ q
+            s += b
             top = s.max(1)
-            z = top + np.log(np.exp(s - top[:, None]).sum(1))
+            s -= top[:, None]
             mine = order[bounds[i] : bounds[i + len(d)]]
             row = which[mine] - i
-            out[mine] = s[row, full[mine]] - z[row]
+            out[mine] = s[row, full[mine]]
+            z = np.log(np.exp(s, out=s).sum(1))
+            out[mine] -= z[row]
         return out
 
 
@@ -146,9 +152,11 @@ class Trainer:
         self.p[k][rows] += RATE * grad / np.sqrt(self.g[k][rows])
 
     def _sum(self, rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(rows, kind="stable")
-        own, first = np.unique(rows[order], return_index=True)
-        return own, np.add.reduceat(grad[order], first, axis=0)
+        # 16-bit keys are sorted by radix
+        order = np.argsort(rows.astype(np.uint16) if self.m.classes < 65535 else rows, kind="stable")
+        rows = rows[order]
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        return rows[first], np.add.reduceat(grad[order], first, axis=0)
 
     def run(self, full: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
         order = self.r.permutation(len(full))
@@ -181,9 +189,22 @@ class Trainer:
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, held_out, block), written to the shared folder: a block is some thousand rows of one task's input."""
+    """(doc_id, text, held_out, block), written to the shared folder: a block is at most 2**BLOCK_BITS rows of one task's input, and BLOCK_BYTES of text and one text more."""
+
+    def run(it):
+        from pyspark import TaskContext
+
+        base, rows, size = TaskContext.get().partitionId() << 40, 0, 0
+        for batch in it:
+            ends = size + np.cumsum(np.diff(buffers(batch.column("text"))[1]))
+            before = np.concatenate([[size], ends[:-1]])
+            # both parts only ever rise, so their sum tells the pairs of them apart
+            block = base + before // BLOCK_BYTES + (rows + np.arange(batch.num_rows) >> BLOCK_BITS)
+            rows, size = rows + batch.num_rows, int(ends[-1]) if batch.num_rows else size
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block, pa.int64())], ["doc_id", "text", "held_out", "block"])
+
     rows = text_of(docs, F.coalesce(held_out(), F.lit(False)).alias("held_out"))
-    return cut(rows.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)), "blocks")
+    return cut(rows.mapInArrow(run, "doc_id long, text string, held_out boolean, block long"), "blocks")
 
 
 def _words_by_block(rows: DataFrame) -> DataFrame:
@@ -232,18 +253,24 @@ def fit(rows: DataFrame, counts: DataFrame, core: int = CORE, rounds: int = ROUN
     for turn in range(rounds if docs else 0):
         width = model.flat().size
 
-        def step(batch: pa.RecordBatch, total: np.ndarray, turn: int = turn) -> None:
+        def begin(turn: int = turn):
             from pyspark import TaskContext
 
             local = Trainer(model, TaskContext.get().partitionId() * rounds + turn)
-            train = np.flatnonzero(~batch.column("held_out").to_numpy(zero_copy_only=False))
-            for _, _, w in each(batch.column("text").take(pa.array(train[turn::rounds]))):
-                full, one, two, _ = model.sequence(w, w.hashes())
-                local.run(full, one, two)
-            total[:-1] += local.params() * local.seen
-            total[-1] += local.seen
-
-        total = dense_totals(rows.select("text", "held_out"), step, width + 1, np.float64)
+
+            def step(batch: pa.RecordBatch, _: np.ndarray) -> None:
+                train = np.flatnonzero(~batch.column("held_out").to_numpy(zero_copy_only=False))
+                for _, _, w in each(batch.column("text").take(pa.array(train[turn::rounds]))):
+                    full, one, two, _ = model.sequence(w, w.hashes())
+                    local.run(full, one, two)
+
+            def end(total: np.ndarray) -> None:
+                total[:-1] = local.params() * local.seen
+                total[-1] = local.seen
+
+            return step, end
+
+        total = dense_totals(rows.select("text", "held_out"), None, width + 1, np.float64, begin)
         if total[-1]:
             model.unflat(total[:-1] / total[-1])
     return model

@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame
 SLICE = 1024
 
 
-def dense_totals(df: DataFrame, count: Callable[[pa.RecordBatch, np.ndarray], None], width: int, kind: type = np.int64) -> np.ndarray:
+def dense_totals(df: DataFrame, count: Callable[[pa.RecordBatch, np.ndarray], None] | None, width: int, kind: type = np.int64, begin: Callable | None = None) -> np.ndarray:
     """The sum over all batches of the vector that count(batch, vector) adds to.
 
+    ``begin``, if given, is called at the start of each task and returns that
+    task's count and what is called with the vector at its end.
+
     Each task sends its vector once, in slices without those that are all zero;
     slices meet by their number, in the order of the tasks, so that sums of
     floats are the same in every run. Only the one vector of ``width`` items
@@ -26,8 +29,11 @@ def dense_totals(df: DataFrame, count: Callable[[pa.RecordBatch, np.ndarray], No
         from pyspark import TaskContext
 
         total = np.zeros(-(-width // SLICE) * SLICE, kind)
+        step, end = begin() if begin else (count, None)
         for batch in it:
-            count(batch, total[:width])
+            step(batch, total[:width])
+        if end:
+            end(total[:width])
         full = np.flatnonzero(total.reshape(-1, SLICE).any(1))
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([TaskContext.get().partitionId()] * len(full), pa.int64()), pa.array([zlib.compress(total[k * SLICE : (k + 1) * SLICE].tobytes(), 1) for k in full], pa.binary())], ["slice", "task", "part"])
 

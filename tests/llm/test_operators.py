@@ -636,6 +636,43 @@ def test_lm_sums_to_one(docs):
         assert (sum(own), len(own)) == (m.rare_tokens[k], m.rare_types[k])
 
 
+def test_lm_score_by_definition(spark, docs, texts):
+    """score is, token by token, the class's share of a softmax over all classes times the word's smoothed share of its class."""
+    some = docs.where("doc_id % 7 = 3").coalesce(1)
+    rows = lm.blocks(some)
+    counts = lm._words_by_block(rows).groupBy("hash").agg(F.min("rare").alias("rare"), F.sum("n").alias("c")).where("c > 0")
+    m = lm.fit(rows, counts)
+    c = {r["hash"] & (2**64 - 1): r["c"] for r in counts.collect()}
+    a1, a2, q, b = (m.params[k].astype(np.float32).astype(float) for k in ("a1", "a2", "q", "b"))
+    core = dict(zip(m.core.tolist(), m.core_place.tolist(), strict=True))
+    got = {r["doc_id"]: r["score"] for r in lm.score(some).collect()}
+    for d, t in [x for x in texts if x[0] % 7 == 3]:
+        w = next((w for _, _, w in kernel.each(pa.array([t or ""]))), None)
+        h, rare = (w.hashes().tolist(), lm.rare_class(w).tolist()) if w is not None and len(w.starts) else ([], [])
+        classes = [core.get(x, len(core) + k) for x, k in zip(h, rare, strict=True)] + [m.classes - 1]
+        total, one, two = 0.0, m.classes, m.classes
+        for i, k in enumerate(classes):
+            s = (a1[one] + a2[two]) @ q.T + b
+            total += s[k] - s.max() - math.log(np.exp(s - s.max()).sum())
+            if i < len(h) and k >= len(core):
+                r = rare[i]
+                total += math.log((c.get(h[i], 0) + 0.1) / (m.rare_tokens[r] + 0.1 * (m.rare_types[r] + 1)))
+            one, two = k, one
+        assert got[d] == pytest.approx(total / math.log(10), rel=1e-3, abs=1e-2)
+
+
+def test_lm_blocks_are_bounded(spark, monkeypatch):
+    """By bytes of text and by rows; the rows themselves are as they were."""
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 1000)
+    rows = [(d, "x" * (d % 400), "en", "a", 1) for d in range(500)]
+    got = lm.blocks(frame(spark, [r[:2] for r in rows]).repartition(3)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted((r[0], r[1]) for r in rows)
+    held = Counter()
+    for r in got:
+        held[r["block"]] += len(r["text"])
+    assert len(held) > 50 and max(held.values()) <= 1000 + 399
+
+
 def test_lm_trains_on_every_text(spark):
     """Each text has a word of its own, whose context vectors move from where they started only if that text trains the model."""
     rows = [(d, f"own{d} own{d} common words", "en", "a", 1) for d in range(200)]
