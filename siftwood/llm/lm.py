@@ -39,8 +39,8 @@ NOISE = 64
 BATCH = 1024
 RATE = 0.25
 ROUNDS = 3
-#: A block ends after so many rows or bytes of text of a task's input.
-BLOCK_BITS, BLOCK_BYTES = 12, 1 << 24
+#: A block ends after so many bytes of text of a task's input, and after so many rows of tiny ones.
+BLOCK_BITS, BLOCK_BYTES = 16, 1 << 24
 #: Contexts whose scores of all classes are made at once: what a processor's cache holds.
 CONTEXTS = 384
 END_HASH = np.uint64(0x9AE16A3B2F90404F)
