@@ -41,11 +41,11 @@ def powers(base: int, n: int) -> np.ndarray:
     """base to the powers 0..n-1, modulo 2**64."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES, 0 if have is None else 2 * len(have))
-        have = np.full(size, base, np.uint64)
+        # what a usual pass needs is kept, what a long text needs is not
+        have = np.full(max(n, CHUNK_BYTES + 1024), base, np.uint64)
         have[0] = 1
         have = np.cumprod(have, dtype=np.uint64)
-        if size <= 8 * CHUNK_BYTES:
+        if n <= CHUNK_BYTES + 1024:
             _powers[base] = have
     return have[:n]
 

@@ -35,7 +35,7 @@ END = 2
 #: Bytes of text that are encoded together: each pass merges its new words into those remembered.
 PASS_BYTES = 1 << 20
 #: Distinct words that a process remembers the ids of.
-MEMORY = 2_000_000
+MEMORY = 1_000_000
 
 _encoders: dict[str, Encoder] = {}
 
