@@ -61,15 +61,40 @@ def _once(family: str, name: str, severity: str, confidence: float, test: Column
     return F.when(test, F.struct(*(p.alias(n) for p, n in zip(parts, ("family", "name", "severity", "confidence", "det", "k", "m"), strict=True))))
 
 
+def _first(family: str, name: str, pattern: str, severity: str, confidence: float) -> Column:
+    """The hit of a pattern's first match in a line."""
+    m = F.regexp_extract("line", "(?i)" + pattern, 0)
+    told = (F.lit(family).alias("family"), F.lit(name).alias("name"), F.lit(severity).alias("severity"), F.lit(confidence).cast("double").alias("confidence"), F.lit(0).alias("det"), F.lit(1).alias("k"), m.alias("m"))
+    return F.filter(F.array(F.struct(*told)), lambda h: h["m"] != "")
+
+
 def _guarded(test: Column, hits: Column) -> Column:
     return F.when(test, hits).otherwise(F.array().cast(f"array<{HIT}>"))
 
 
+#: Digits that a match of each detector has at least; a line with fewer is not searched.
+DIGITS = {
+    "credit_card": 13, "us_ssn": 9, "phone_number": 10, "ip_address": 4, "uk_nhs": 10, "uk_nino": 6, "uk_phone": 11, "india_aadhaar": 12,
+    "india_pan": 4, "singapore_nric": 7, "australia_tfn": 9, "australia_medicare": 10, "iban": 9, "eu_vat": 8,
+}
+#: What a match of each shape holds in lower case, one of; a line without it is not searched.
+HELD = {
+    "api_key_assignment": ("key", "token", "secret"), "aws_access_key": ("akia",), "github_token": ("ghp_",), "github_app_token": ("ghs_",), "slack_token": ("xox",),
+    "discord_token": (".",), "password_assignment": ("password",), "private_key": ("-----begin",), "url_encoded": ("%",),
+    "hate_speech_indicators": ("nazi", "kike", "spic", "chink", "nigger", "faggot"), "explicit_profanity": ("fuck", "shit", "bitch", "ass", "bastard", "damn", "hell"),
+    "casual_abbreviations": ("wtf", "omg", "lol", "rofl", "lmao"), "unprofessional_descriptors": ("stupid", "dumb", "idiotic", "moronic", "retarded"),
+}
+#: Where no literal tells, a pattern that matches wherever the shape does, and tries the beginnings of runs only.
+RUNS = {"aws_secret_key": r"(?<![A-Za-z0-9/+=])[A-Za-z0-9/+=]{40}", "base64_encoded": r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{16}", "hex_encoded": r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{32}"}
+#: Columns that a line's guards read, made once for each line.
+_GUARDS = {"_low": F.lower, "_digits": lambda line: F.length(line) - F.length(F.translate(line, "0123456789", ""))}
+
+
 def pii_hits(names: Sequence[str] | None = None) -> Column:
     found = []
     for det, (name, pattern, severity) in enumerate(V.PII):
         if names is None or name in names:
-            needs = F.contains("line", F.lit("@")) if name == "email_address" else F.rlike("line", F.lit("[0-9]"))
+            needs = F.contains("line", F.lit("@")) if name == "email_address" else F.col("_digits") >= DIGITS[name]
             found.append(_guarded(needs, _found("pii", name, pattern, severity, 0.95, det)))
     return F.flatten(F.array(*found))
 
@@ -84,9 +109,15 @@ def kind_hits(family: str, kinds: Sequence[tuple], allowed: Column, denied: dict
 
 
 def shape_hits(family: str, shapes: Sequence[tuple[str, str, str]], confidence: float, first_only: bool = False) -> Column:
-    """Hits of every match of every shape, or of each shape's first."""
-    found = [_found(family, name, pattern, severity, confidence, 0) for name, pattern, severity in shapes]
-    found = [F.slice(x, 1, 1) for x in found] if first_only else found
+    """Hits of every match of every shape, or of each shape's first.
+
+    Shapes that a literal tells are only searched where it is, others where a run of their characters begins.
+    """
+    found = []
+    for name, pattern, severity in shapes:
+        hits = _first(family, name, pattern, severity, confidence) if first_only else _found(family, name, pattern, severity, confidence, 0)
+        test = any_of(F.contains("_low", F.lit(x)) for x in HELD[name]) if name in HELD else F.rlike("line", F.lit(RUNS[name])) if name in RUNS else F.lit(True)
+        found.append(_guarded(test, hits))
     return F.flatten(F.array(*found))
 
 
@@ -105,7 +136,8 @@ def marker_hits() -> Column:
 
 
 def _exploded(rows: DataFrame, hits: Column) -> DataFrame:
-    return rows.withColumn("hit", F.explode(hits)).select("*", "hit.*").drop("hit")
+    guarded = rows.withColumns({name: made(F.col("line")) for name, made in _GUARDS.items()})
+    return guarded.withColumn("hit", F.explode(hits)).select("*", "hit.*").drop("hit", *_GUARDS)
 
 
 def pii_matches(rows: DataFrame, names: Sequence[str] | None = None) -> DataFrame:

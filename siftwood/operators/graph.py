@@ -81,15 +81,16 @@ def violations(signatures: DataFrame, accesses: DataFrame, handlers: DataFrame,
     return out.orderBy(F.desc("impact_score"), "name", "path_a", "path_b").limit(most)
 
 
-def reach(edges: DataFrame, sources: DataFrame, most: int = 50) -> DataFrame:
+def reach(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
     """(node, depth): what the sources (node) reach over edges (src, dst), and in how few steps.
 
     Breadth first: a round joins the new nodes only, and anti-joins those that
-    are known; the loop ends when a round finds none. Each round is computed once.
+    are known; the loop ends when a round finds none, or after ``most`` steps
+    where that many are asked for. Each round is computed once.
     """
     known = sources.select("node").distinct().withColumn("depth", F.lit(0))
     front, depth = known.select("node"), 0
-    while depth < most:
+    while most is None or depth < most:
         depth += 1
         new = front.join(edges, front.node == edges.src).select(F.col("dst").alias("node")).distinct().join(known, "node", "left_anti")
         new = settled(new)

@@ -95,10 +95,15 @@ def category_topk(found: DataFrame, category: str, order: list[Column], k: int =
 
 
 def detector_cap(found: DataFrame, order: list[Column], cap: int = 1000) -> DataFrame:
-    """Per detector at most ``cap`` findings, but all critical ones: they come first and only take room."""
-    critical = F.col("severity") == "critical"
-    placed = found.withColumn("_place", F.row_number().over(Window.partitionBy("detected_by").orderBy(F.when(critical, 0).otherwise(1), *order)))
-    return placed.where(critical | (F.col("_place") <= cap)).drop("_place")
+    """Per detector at most ``cap`` findings, but all critical ones: they come first and only take room.
+
+    Critical findings are counted, not placed, so that the limit of the others holds before the shuffle.
+    """
+    critical = F.coalesce(F.col("severity") == "critical", F.lit(False))
+    taken = found.where(critical).groupBy(F.col("detected_by").alias("_by")).agg(F.count("*").alias("_taken"))
+    placed = found.where(~critical).withColumn("_place", F.row_number().over(Window.partitionBy("detected_by").orderBy(*order))).where(F.col("_place") <= cap)
+    room = placed.join(taken, F.col("detected_by").eqNullSafe(F.col("_by")), "left").where(F.col("_place") + F.coalesce("_taken", F.lit(0)) <= cap)
+    return found.where(critical).unionByName(room.drop("_place", "_by", "_taken"))
 
 
 def pack_by_tokens(texts: DataFrame, max_tokens: int = 1_500_000, max_count: int = 3000, fixed: int = 3750) -> DataFrame:

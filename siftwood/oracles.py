@@ -127,7 +127,7 @@ def security(source: str, detector: str, title: str, kinds) -> str:
 
 
 def shapes(shape_list) -> str:
-    return " UNION ALL ".join(numbered(f"(SELECT * FROM lines WHERE len(line) <= {V.LONGEST_LINE})", matches(p), f"{lit(n)} AS name, {lit(s)} AS severity") for n, p, s in shape_list)
+    return " UNION ALL ".join(numbered("lines", matches(p), f"{lit(n)} AS name, {lit(s)} AS severity") for n, p, s in shape_list)
 
 
 FILE_TYPE = lambda c: "CASE " + " ".join(f"WHEN regexp_matches({c}, {lit('^(?:' + '|'.join(f'(?:{p})' for p in ps) + ')')}) THEN {lit(k)}" for k, _, ps in V.PATH_RULES) + " ELSE 'unknown' END"
@@ -307,7 +307,7 @@ ORACLES: dict[str, str] = {
     "moderation_context": with_(LINES + "," + MODERATION, "SELECT id, severity, file_path, line_number, pattern_type, round(confidence, 6) AS confidence, impact_score FROM mod"),
     "todo_markers": with_(LINES, f"SELECT path, line_no, name, severity FROM ({MARK_RAW})"),
     "unknown_imports": with_(LINES, rf"""SELECT path, line_no, module FROM (SELECT path, line_no, coalesce(nullif(regexp_extract(line, '^\s*import\s+([A-Za-z_][A-Za-z0-9_]*)', 1), ''), nullif(regexp_extract(line, '^\s*from\s+([A-Za-z_][A-Za-z0-9_]*)[A-Za-z0-9_.]*\s+import\b', 1), '')) AS module FROM lines WHERE suffix(path, '.py')) WHERE module NOT IN {rows([Q.CATALOG])}"""),
-    "js_patterns": with_(LINES, " UNION ALL ".join(f"SELECT path, line_no, {lit(n)} AS name, {lit(s)} AS severity FROM lines WHERE {EXT} IN {rows([tools.JS_ENDINGS])} AND len(line) <= {V.LONGEST_LINE} AND {rx('line', p, '')}" for n, s, p in tools.JS_PATTERNS)),
+    "js_patterns": with_(LINES, " UNION ALL ".join(f"SELECT path, line_no, {lit(n)} AS name, {lit(s)} AS severity FROM lines WHERE {EXT} IN {rows([tools.JS_ENDINGS])} AND {rx('line', p, '')}" for n, s, p in tools.JS_PATTERNS)),
     "js_metrics": r"""SELECT 'web/' || page_id || '.html' AS path, len(string_split(h, chr(10)))::BIGINT AS loc, len(regexp_extract_all(h, '\bfunction\b|=>'))::BIGINT AS functions, len(regexp_extract_all(h, '\bclass\s+[A-Za-z_]'))::BIGINT AS classes,
   len(regexp_extract_all(h, '(?m)^\s*import\b|\brequire\s*\('))::BIGINT AS imports, len(regexp_extract_all(h, '\b(?:if|for|while|case|catch)\b|\?\s|&&|\|\|'))::BIGINT AS branches FROM (SELECT page_id, coalesce(html, '') AS h FROM pages)""",
     "weak_crypto": with_(LINES, rf"SELECT path, line_no FROM lines WHERE suffix(path, '.py') AND {rx('line', tools.WEAK_HASH, '')} AND NOT regexp_matches(line, 'usedforsecurity\s*=\s*False')"),

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import settled
 from ..operators import detect, filters, rank, rollup
 from ..operators.classify import excluded_from_analysis
 
@@ -23,7 +24,8 @@ def ranked(files: DataFrame, as_of: str = "2024-02-01 00:00:00", **options) -> D
 
 
 def reports(found: DataFrame) -> dict[str, DataFrame]:
-    """The reports' tables by name; the privacy ones only matter if there are privacy findings."""
+    """The reports' tables by name; the privacy ones only matter if there are privacy findings. found is computed once, for all of them."""
+    found = settled(found)
     return {
         "overview": rollup.overview(found), "distribution": rollup.distribution(found), "file_metrics": rollup.file_metrics(found), "file_intelligence": rollup.file_intelligence(found),
         "detail_by_type": rollup.detail_by_type(found), "security_overview": rollup.security_overview(found), "vulnerability_categories": rollup.vulnerability_categories(found),

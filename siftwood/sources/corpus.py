@@ -46,6 +46,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, least: int = 1 << 20, most: int = 1 << 28) -> DataFrame:
+    """df, dealt out over all cores if it is small: a row group is read by one task, and a small table may have only one.
+
+    Tables of ``most`` bytes or more are never shuffled here.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if least <= size < most else df
+
+
 def literal_files(spark: SparkSession) -> DataFrame:
     rows = F.array(*(F.struct(F.lit(p).alias("path"), F.lit(c).alias("content")) for p, c in LITERAL_FILES))
     return spark.range(1).select(F.inline(rows))
@@ -53,7 +62,7 @@ def literal_files(spark: SparkSession) -> DataFrame:
 
 def files(spark: SparkSession, sf_dir: str, literals: bool = True) -> DataFrame:
     """(path, content): the documents, and the literal cases. A null text is a file without content."""
-    docs = table(spark, sf_dir, "documents").select(F.expr(PATH_SQL).alias("path"), F.coalesce("text", F.lit("")).alias("content"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.expr(PATH_SQL).alias("path"), F.coalesce("text", F.lit("")).alias("content"))
     return docs.unionByName(literal_files(spark)) if literals else docs
 
 
