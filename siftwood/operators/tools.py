@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import values as V
-from ..functions.columns import any_of, extension, lookup
-from ..schema import as_findings
+from ..functions.columns import any_of, extension, file_name, in_dirs, lookup
+from ..schema import as_findings, finding_id
 
 BANDIT = "struct<results:array<struct<test_id:string,filename:string,line_number:int,col_offset:int,issue_severity:string,issue_confidence:string,issue_text:string>>>"
 PYLINT = "array<struct<type:string,`message-id`:string,symbol:string,path:string,line:int,column:int,message:string>>"
@@ -49,6 +49,14 @@ JS_PATTERNS = (
     ("hardcoded_credential", "high", r"""(?i)(?:^|[^A-Za-z0-9])(?:password|passwd|pwd|secret|api[_-]?key|access[_-]?key|priv(?:ate)?[_-]?key|auth[_-]?token|access[_-]?token|bearer[_-]?token|client[_-]?secret|jwt[_-]?secret|session[_-]?secret)["']?\s*[:=]\s*["'][^"'\s]{8,}["']"""),
     ("work_marker", "low", r"(?i)(?://|/\*)\s*(?:todo|fixme|hack)\b"),
 )
+# fixed values: a key's name before a string of 32 to 64 plain characters; parameters that are too many; kinds and impact of JavaScript findings
+GENERIC_KEY = ("generic_key", "medium", r"""(?i)["']?[A-Za-z0-9_]*(?:api|key|token|secret)[A-Za-z0-9_]*["']?\s*:\s*["'][A-Za-z0-9_-]{32,64}["']""")
+MANY_PARAMETERS = ("many_parameters", "medium", r"\bfunction\b[^(]*\((?:[^(),]*,){7}[^(),]*[^(),\s][^()]*\)")
+JS_TYPES = {"many_parameters": "code_quality", "work_marker": "todo"}
+JS_IMPACT = {"critical": 0.95, "high": 0.8, "medium": 0.6, "low": 0.4}
+JS_CONFIDENCE = 0.95
+JS_SECRETS = ("aws_key", "hardcoded_credential", "generic_key")
+ONE_LOWER = {"critical": "high", "high": "medium", "medium": "low", "low": "info"}
 JS_ENDINGS = (".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs")
 
 
@@ -59,6 +67,27 @@ def js_patterns(lines_of: DataFrame) -> DataFrame:
     return rows.select("path", "line_no", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("path", "line_no", "h.*")
 
 
+def js_findings(lines_of: DataFrame) -> DataFrame:
+    """Findings of the JavaScript patterns, of keys by name and of long parameter lists; security in tests is one severity lower.
+
+    Statements can't be counted by line patterns, so functions of many statements give none.
+    """
+    told = (*JS_PATTERNS, GENERIC_KEY, MANY_PARAMETERS)
+    hits = [F.when(F.rlike("line", F.lit(p)), F.struct(F.lit(n).alias("name"), F.lit(s).alias("severity"))) for n, s, p in told]
+    rows = lines_of.where(extension(F.col("path")).isin(*JS_ENDINGS)).select("path", "line_no", "line", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("path", "line_no", "line", "h.*")
+    name, kind = F.lower(file_name(F.col("path"))), lookup(F.col("name"), JS_TYPES, "security")
+    tested = in_dirs(F.col("path"), V.TEST_DIRS) | F.startswith(name, F.lit("test_")) | any_of(F.endswith(name, F.lit(x)) for x in V.TEST_NAME_SUFFIXES)
+    severity = F.when(tested & (kind == "security"), lookup(F.col("severity"), ONE_LOWER)).otherwise(F.col("severity"))
+    line = F.trim("line")
+    snippet = F.when(F.col("name").isin(*JS_SECRETS), F.regexp_replace(line, r"""(["'])([^"']+)(["'])""", "$1<REDACTED>$3")).otherwise(line)
+    out = rows.select(
+        finding_id(F.lit("javascript"), F.col("name"), F.col("path"), F.col("line_no"), F.lit(1)).alias("id"), kind.alias("type"), severity.alias("severity"), F.col("path").alias("file_path"), F.col("line_no").alias("line_number"),
+        F.concat(F.lit("JavaScript: "), F.col("name")).alias("title"), F.concat(F.lit("Matched "), F.col("name")).alias("description"), F.when(F.length(snippet) <= V.SNIPPET, snippet).otherwise(F.concat(F.substring(snippet, 1, V.SNIPPET), F.lit("…"))).alias("code_snippet"),
+        F.lit(JS_CONFIDENCE).alias("confidence"), lookup(severity, JS_IMPACT, 0.2).alias("impact_score"), F.lit("javascript_patterns").alias("detected_by"), F.col("name").alias("pattern_type"),
+    )
+    return as_findings(out)
+
+
 def js_metrics(files: DataFrame) -> DataFrame:
     """Lines, functions, classes, imports and branches of a file, counted by patterns."""
     n = lambda p: F.regexp_count("content", F.lit(p)).cast("long")
@@ -148,4 +177,4 @@ def project_signature(files: DataFrame) -> DataFrame:
     return named.groupBy("c.kind").agg(F.min_by(F.struct("path", F.expr("substring(content, 1, c.most)").alias("text")), "c.k").alias("f")).select("kind", "f.*")
 
 
-__all__ = ["any_of", "bandit_rows", "category_topk", "detector_cap", "js_metrics", "js_patterns", "pack_by_tokens", "project_signature", "pylint_rows", "unknown_imports", "weak_crypto"]
+__all__ = ["any_of", "bandit_rows", "category_topk", "detector_cap", "js_findings", "js_metrics", "js_patterns", "pack_by_tokens", "project_signature", "pylint_rows", "unknown_imports", "weak_crypto"]

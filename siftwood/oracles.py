@@ -308,6 +308,10 @@ ORACLES: dict[str, str] = {
     "todo_markers": with_(LINES, f"SELECT path, line_no, name, severity FROM ({MARK_RAW})"),
     "unknown_imports": with_(LINES, rf"""SELECT path, line_no, module FROM (SELECT path, line_no, coalesce(nullif(regexp_extract(line, '^\s*import\s+([A-Za-z_][A-Za-z0-9_]*)', 1), ''), nullif(regexp_extract(line, '^\s*from\s+([A-Za-z_][A-Za-z0-9_]*)[A-Za-z0-9_.]*\s+import\b', 1), '')) AS module FROM lines WHERE suffix(path, '.py')) WHERE module NOT IN {rows([Q.CATALOG])}"""),
     "js_patterns": with_(LINES, " UNION ALL ".join(f"SELECT path, line_no, {lit(n)} AS name, {lit(s)} AS severity FROM lines WHERE {EXT} IN {rows([tools.JS_ENDINGS])} AND {rx('line', p, '')}" for n, s, p in tools.JS_PATTERNS)),
+    "js_findings": with_(LINES, f"""SELECT {fid(lit('javascript'), 'name', 'path', 'line_no', "1")} AS id, type, severity, path AS file_path, line_no AS line_number, 'JavaScript: ' || name AS title, {tools.JS_CONFIDENCE}::DOUBLE AS confidence, {case('severity', tools.JS_IMPACT, 0.2)}::DOUBLE AS impact_score, 'javascript_patterns' AS detected_by, name AS pattern_type FROM (
+  SELECT path, line_no, name, type, CASE WHEN type = 'security' AND tested THEN {case('severity', tools.ONE_LOWER)} ELSE severity END AS severity FROM (SELECT *, {case('name', tools.JS_TYPES, lit('security'))} AS type,
+    list_has_any(string_split(lower(path), '/'), {listed(V.TEST_DIRS)}) OR starts_with(lower(regexp_extract(path, '[^/]*$')), 'test_') OR {' OR '.join(f"suffix(lower(path), {lit(x)})" for x in V.TEST_NAME_SUFFIXES)} AS tested FROM (
+    {' UNION ALL '.join(f"SELECT path, line_no, {lit(n)} AS name, {lit(s)} AS severity FROM js_lines WHERE {EXT} IN {rows([tools.JS_ENDINGS])} AND {rx('line', p, '')}" for n, s, p in (*tools.JS_PATTERNS, tools.GENERIC_KEY, tools.MANY_PARAMETERS))})))""".replace("FROM js_lines", f"FROM (SELECT path, line_no, line FROM lines UNION ALL SELECT * FROM (VALUES {rows(Q.JS_LINES)}) v(path, line_no, line)) j")),
     "js_metrics": r"""SELECT 'web/' || page_id || '.html' AS path, len(string_split(h, chr(10)))::BIGINT AS loc, len(regexp_extract_all(h, '\bfunction\b|=>'))::BIGINT AS functions, len(regexp_extract_all(h, '\bclass\s+[A-Za-z_]'))::BIGINT AS classes,
   len(regexp_extract_all(h, '(?m)^\s*import\b|\brequire\s*\('))::BIGINT AS imports, len(regexp_extract_all(h, '\b(?:if|for|while|case|catch)\b|\?\s|&&|\|\|'))::BIGINT AS branches FROM (SELECT page_id, coalesce(html, '') AS h FROM pages)""",
     "weak_crypto": with_(LINES, rf"SELECT path, line_no FROM lines WHERE suffix(path, '.py') AND {rx('line', tools.WEAK_HASH, '')} AND NOT regexp_matches(line, 'usedforsecurity\s*=\s*False')"),

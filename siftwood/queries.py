@@ -255,6 +255,19 @@ def js_patterns(spark, sf_dir):
     return tools.js_patterns(_lines(spark, sf_dir))
 
 
+#: Lines that the files don't hold: a key by its name, parameter lists of seven and of eight, and a test's credential.
+JS_LINES = (
+    ("web/keys.ts", 1, "const c = { apiToken: '0123456789abcdef0123456789abcdef' }"), ("web/keys.ts", 2, "f({ other: '0123456789abcdef0123456789abcdef' })"), ("web/many.js", 1, "function f(a, b, c, d, e, f, g) {"),
+    ("web/many.js", 2, "function g(a, b, c, d, e, f, g, h) {"), ("web/e2e/login.test.ts", 3, "const password = 'hunter2hunter2'"), ("web/e2e/login.test.ts", 4, "// TODO later"), ("web/other.py", 1, "eval(x)"),
+)
+
+
+@query
+def js_findings(spark, sf_dir):
+    rows = _lines(spark, sf_dir).select("path", "line_no", "line").unionByName(_literals(spark, JS_LINES, "path string, line_no int, line string"))
+    return tools.js_findings(rows).select(*"id type severity file_path line_number title confidence impact_score detected_by pattern_type".split())
+
+
 @query
 def js_metrics(spark, sf_dir):
     pages = corpus.table(spark, sf_dir, "pages").select(F.concat(F.lit("web/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.coalesce("html", F.lit("")).alias("content"))
