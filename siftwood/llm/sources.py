@@ -7,9 +7,14 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources import corpus
+
+#: Bytes of a table below which it is dealt out over all cores, as it may be one row group.
+SMALL = 1 << 25
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return corpus.spread(corpus.table(spark, sf_dir, name), most=SMALL)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json", folder: str | None = None) -> str:
