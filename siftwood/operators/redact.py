@@ -49,14 +49,15 @@ def is_secret(df_type: str = "type") -> Column:
 
 
 def sanitize(found: DataFrame) -> DataFrame:
-    """Findings as reports may show them: secrets and personal data keep no snippet and a generic description; all other text is redacted."""
+    """Findings as reports may show them: secrets and personal data keep no snippet and a generic description; all other text is folded and redacted."""
     secret = is_secret()
+    plain = lambda name: redact_text(fold(F.col(name)))
     generic = F.when(F.col("type") == "privacy", F.lit("Personal data detected (value redacted)")).otherwise(F.lit("Credential (value redacted)"))
     return found.withColumns(
         {
-            "description": F.when(secret, generic).otherwise(redact_text(F.col("description"))),
-            "code_snippet": F.when(secret, F.lit(None).cast("string")).otherwise(redact_text(F.col("code_snippet"))),
-            "title": redact_text(F.col("title")),
+            "description": F.when(secret, generic).otherwise(plain("description")),
+            "code_snippet": F.when(secret, F.lit(None).cast("string")).otherwise(plain("code_snippet")),
+            "title": plain("title"),
             "metadata": F.map_filter("metadata", lambda k, v: ~F.when(secret, k.isin("matched_text", "context_line", "code_snippet", "code")).otherwise(False)),
         }
     )

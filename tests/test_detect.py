@@ -144,3 +144,26 @@ def test_long_lines_are_searched(spark):
     assert [(r["name"], r["m"]) for r in detect.moderation_matches(lines).collect()] == [("casual_abbreviations", "wtf")]
     assert {r["m"] for r in detect.shape_matches(lines, V.SECRETS).collect()} == {"AKIA" + "Z7" * 8}
     assert {"eval_usage", "aws_key"} <= {r["name"] for r in tools.js_patterns(lines).collect()}
+
+
+def test_sanitize_redacts_full_width_keys(spark):
+    """Compatibility characters are folded first, so that a key written with them does not stay; nulls stay null."""
+    from siftwood.schema import as_findings
+
+    key = "ＡＫＩＡABCDEFGHIJKLMNOP"
+    rows = spark.createDataFrame([("1", "code_quality", "low", "a.py", 1, f"title {key}", f"found {key}", key, 0.9), ("2", "code_quality", "low", "a.py", 2, "plain", None, None, 0.9)], "id string, type string, severity string, file_path string, line_number int, title string, description string, code_snippet string, confidence double")
+    out = {r["id"]: r for r in redact.sanitize(as_findings(rows)).collect()}
+    assert all("redacted-aws-key" in out["1"][c] and "ABCDEFGHIJ" not in out["1"][c] for c in ("title", "description", "code_snippet"))
+    assert out["2"]["title"] == "plain" and out["2"]["description"] is None and out["2"]["code_snippet"] is None
+
+
+def test_long_tokens_are_searched_at_run_beginnings(spark):
+    """The guards of runs lose no match: runs at a line's beginning, end, middle, and after other characters."""
+    from siftwood.operators import detect
+
+    run = "Ab1/" * 10
+    rows = [(f"f{k}", 1, line) for k, line in enumerate([run, f"x {run}", f"{run} y", f"é{run}.", f"({run})", "short words only", run[:39], "-" + "deadBEEF" * 4 + " hash"])]
+    lines = spark.createDataFrame(rows, "path string, line_no int, line string")
+    found = {(r["path"], r["name"]) for r in detect.shape_matches(lines, detect.V.SECRETS + detect.V.OBFUSCATION).collect()}
+    assert {p for p, n in found if n == "aws_secret_key"} == {"f0", "f1", "f2", "f3", "f4"}
+    assert ("f7", "hex_encoded") in found and not any(p == "f5" for p, _ in found)
