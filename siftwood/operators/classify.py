@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import values as V
-from ..functions.columns import contains_any, first_case, lookup
+from ..functions.columns import first_case, lookup
 
 
 def normalized(path: Column) -> Column:
@@ -28,7 +30,11 @@ def file_weight(kind: Column) -> Column:
 
 
 def excluded_from_analysis(path: Column) -> Column:
-    return (file_type(path) == "build_output") | contains_any(F.lower(path), V.EXCLUDED_PARTS)
+    """Whether a path is a build's output or in a folder that isn't looked at. Build output is the first type, so no other is tried; one pattern holds all parts, so that a path which is a long expression is written out twice only."""
+    first, _, patterns = V.PATH_RULES[0]
+    built = F.rlike(normalized(path), F.lit("^(?:" + "|".join(f"(?:{p})" for p in patterns) + ")"))
+    assert first == "build_output"
+    return built | F.rlike(F.lower(path), F.lit("|".join(map(re.escape, V.EXCLUDED_PARTS))))
 
 
 def is_production(kind: Column) -> Column:

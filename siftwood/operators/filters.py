@@ -153,12 +153,20 @@ def cluster_sizes(found: DataFrame) -> DataFrame:
     return found.withColumn("wire", wire_text()).groupBy("type", "wire").agg(F.min_by(F.struct("id", "file_path", "line_number", "severity"), "id").alias("f"), F.count("*").alias("cluster_size")).select("f.*", "type", "cluster_size")
 
 
+def clamp_utf16(text: Column, most: int) -> Column:
+    """The longest beginning of at most ``most`` UTF-16 units that ends with a whole character."""
+    raw = F.encode(text, "UTF-16BE")
+    # a first half of a pair at the end is left out
+    split = F.hex(F.substring(raw, 2 * most - 1, 1)).between("D8", "DB")
+    return F.when(F.length(raw) <= 2 * most, text).otherwise(F.decode(F.substring(raw, F.lit(1), F.when(split, 2 * most - 2).otherwise(2 * most)), "UTF-16BE"))
+
+
 def wire_text() -> Column:
     """What may leave the machine: the title up to its colon; for other types than security and privacy, the description too; 4000 units at most."""
     title = F.trim(F.element_at(F.split("title", ":"), 1))
     private = F.col("type").isin("security", "privacy")
     text = F.concat_ws(" | ", F.col("type"), F.col("severity"), title, F.when(~private, F.col("description")))
-    return F.substring(text, 1, 4000)
+    return clamp_utf16(text, 4000)
 
 
 def developer_only(found: DataFrame) -> DataFrame:

@@ -150,25 +150,50 @@ def _tainted(n: ast.AST, names: set[str]) -> bool:
     return any(_tainted(c, names) for c in ast.iter_child_nodes(n))
 
 
+def _flows(scope: ast.AST, names: set[str]):
+    """(call, its dotted name, kind of danger) of calls in a scope that tainted values reach, through assignments in the order of lines; no kind for calls that aren't dangerous."""
+    for n in sorted((x for x in _own(scope) if isinstance(x, (ast.Assign, ast.AugAssign, ast.AnnAssign, ast.For, ast.Call))), key=lambda x: (x.lineno, isinstance(x, ast.Call) is False)):
+        if isinstance(n, ast.Call):
+            d = _dotted(n.func)
+            kind = TAINT_SINKS.get(d[-1]) if d else None
+            if kind and d[-1] in TAINT_MODULES and not any(m in d for m in TAINT_MODULES[d[-1]]):
+                kind = None
+            # a dangerous call's parameters besides the first are bound, not interpreted
+            if kind and n.args and _tainted(n.args[0], names):
+                yield n, d, kind
+            elif d and not kind and d[-1] not in SANITIZERS and any(_tainted(x, names) for x in (*n.args, *(k.value for k in n.keywords))):
+                yield n, d, None
+        else:
+            value = n.iter if isinstance(n, ast.For) else n.value
+            targets = n.targets if isinstance(n, ast.Assign) else [n.target]
+            if value is not None:
+                found = {x.id for t in targets for x in ast.walk(t) if isinstance(x, ast.Name)}
+                names = names | found if _tainted(value, names) else names if isinstance(n, ast.AugAssign) else names - found
+
+
+def _scopes(tree: ast.AST) -> Iterator[ast.AST]:
+    return (n for n in ast.walk(tree) if isinstance(n, (*_FUNCTIONS, ast.Module)))
+
+
 def _taint(path: str, content: str, tree: ast.AST):
-    """Flows inside one function (or the module) from input to a dangerous call, through assignments in the order of lines."""
-    for scope in (n for n in ast.walk(tree) if isinstance(n, (*_FUNCTIONS, ast.Module))):
-        names: set[str] = set()
-        for n in sorted((x for x in _own(scope) if isinstance(x, (ast.Assign, ast.AugAssign, ast.AnnAssign, ast.For, ast.Call))), key=lambda x: (x.lineno, isinstance(x, ast.Call) is False)):
-            if isinstance(n, ast.Call):
-                d = _dotted(n.func)
-                kind = TAINT_SINKS.get(d[-1]) if d else None
-                if kind and d[-1] in TAINT_MODULES and not any(m in d for m in TAINT_MODULES[d[-1]]):
-                    kind = None
-                # a call's parameters besides the first are bound, not interpreted
-                if kind and n.args and _tainted(n.args[0], names):
-                    yield n.lineno, "security", TAINT_SEVERITY[kind], 0.85, 0.85, f"Tainted data reaches {kind.replace('_', ' ')}", f"taint_{kind}"
-            else:
-                value = n.iter if isinstance(n, ast.For) else n.value
-                targets = n.targets if isinstance(n, ast.Assign) else [n.target]
-                if value is not None:
-                    found = {x.id for t in targets for x in ast.walk(t) if isinstance(x, ast.Name)}
-                    names = names | found if _tainted(value, names) else names if isinstance(n, ast.AugAssign) else names - found
+    """Flows inside one function (or the module) from input to a dangerous call."""
+    for scope in _scopes(tree):
+        for n, _, kind in _flows(scope, set()):
+            if kind:
+                yield n.lineno, "security", TAINT_SEVERITY[kind], 0.85, 0.85, f"Tainted data reaches {kind.replace('_', ' ')}", f"taint_{kind}"
+
+
+def _taint_facts(tree: ast.AST):
+    """What flows through calls are made of (see facts): what input itself reaches, and what only a function's parameters reach."""
+    for scope in _scopes(tree):
+        direct = {(n.lineno, n.col_offset, d[-1], kind) for n, d, kind in _flows(scope, set())}
+        yield from (("taint_source", line, callee, "") for line, _, callee, kind in sorted(direct, key=str) if not kind)
+        if isinstance(scope, _FUNCTIONS):
+            a = scope.args
+            given = {x.arg for x in (*a.posonlyargs, *a.args, *a.kwonlyargs, *filter(None, (a.vararg, a.kwarg)))} - {"self", "cls"}
+            for n, d, kind in _flows(scope, given):
+                if (n.lineno, n.col_offset, d[-1], kind) not in direct:
+                    yield ("taint_sink", n.lineno, scope.name, kind) if kind else ("taint_edge", n.lineno, scope.name, d[-1])
 
 
 ANALYSES = {"complexity": _complexity, "loops": _loops, "stubs": _stubs, "taint": _taint}
@@ -205,15 +230,19 @@ _FACT = "kind string, path string, line int, name string, detail string"
 
 
 def facts(files: DataFrame) -> DataFrame:
-    """What cross-file analyses join on: (kind, path, line, name, detail) with kinds def, use, signature, access, handler, call.
+    """What cross-file analyses join on: (kind, path, line, name, detail) with kinds def, use, signature, access, handler, call, taint_source, taint_edge, taint_sink.
 
     def: a public function or class (detail: its node type). use: a name or
     attribute. signature: a public function's parameters. access: ``dict`` or
     ``attr`` and the key, by variable. handler: the actions of an exception's
-    handler, in order. call: caller to callee.
+    handler, in order. call: caller to callee. taint_source: a function that is
+    handed input. taint_edge: caller to a callee that is handed what the
+    caller's parameters hold; taint_sink: a function that hands it to a
+    dangerous call, and its kind.
     """
 
     def of(path: str, tree: ast.AST):
+        yield from _taint_facts(tree)
         for n in ast.walk(tree):
             if isinstance(n, (*_FUNCTIONS, ast.ClassDef)) and not n.name.startswith("_"):
                 yield "def", n.lineno, n.name, type(n).__name__

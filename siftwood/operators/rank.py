@@ -65,14 +65,16 @@ def _key() -> Column:
     return F.concat_ws("\x01", score, *(F.coalesce(c, F.lit("")) for c in ("file_path", line, "detected_by", "pattern_type", "id")))
 
 
-def positions(ranked: DataFrame, ranges: int = 64, sample: int = 20) -> DataFrame:
+def positions(ranked: DataFrame, ranges: int | None = None, sample: int = 20) -> DataFrame:
     """ranked with position (from 1) and percentile over all rows, without a global window.
 
     Bounds between ranges of the order come from a bounded sample (the keys of
-    least hash, ``sample`` a range). A row's range follows from its own values,
+    least hash, ``sample`` a range); there are as many ranges as the session
+    has shuffle partitions, and at least 64. A row's range follows from its own values,
     so any recomputation gives the same; rows are numbered inside their range,
     and a range's offset is the number of rows before it, from one row per range.
     """
+    ranges = ranges or max(64, int(ranked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     told = settled(ranked.withColumn("_key", _key()))
     keys = sorted((r[0] for r in told.select("_key").orderBy(F.xxhash64("_key"), "_key").limit(ranges * sample).collect()), key=str.encode)
     bounds = keys[sample::sample]

@@ -105,6 +105,40 @@ def weak_crypto(lines_of: DataFrame) -> DataFrame:
     return lines_of.where(F.endswith("path", F.lit(".py")) & F.rlike("line", F.lit(WEAK_HASH)) & ~F.rlike("line", F.lit(r"usedforsecurity\s*=\s*False"))).select("path", "line_no")
 
 
+_TEXT = r"""[rR]?[fF][rR]?["']"""
+_SQL_TEMPLATE = r"""\.(?:query|execute)\(\s*`[^`]*\$\{[^`]*`\s*[,)]|\.(?:exec|run|raw|\$queryRawUnsafe|\$executeRawUnsafe)\(\s*`[^`]*\$\{[^`]*`\s*\)"""
+_HTML_TEMPLATE = r"""\.(?:innerHTML|outerHTML)\s*=\s*`[^`]*\$\{|\bdocument\.write\(\s*`[^`]*\$\{"""
+_SCRIPT, _TYPED = (".js", ".jsx", ".mjs", ".cjs"), (".ts", ".tsx")
+# fixed values: rules of code: name, endings, pattern, and what in the line excuses it; severity, confidence and impact of all
+CODE_RULES = (
+    ("python.sql_text", (".py",), rf"""(?:\.execute|\btext)\(\s*{_TEXT}|\.objects\.raw\(\s*{_TEXT}|\.extra\(\s*where\s*=\s*\[\s*{_TEXT}|\.(?:execute|objects\.raw)\(\s*(?:["'][^"']*["']|[A-Za-z_][A-Za-z0-9_.]*)\s*\+""", None),
+    ("python.sql_variable", (".py",), r"\.execute\(\s*(?:query|sql|stmt|statement|update_query|delete_query|insert_query|select_query|raw_query|raw_sql)\s*\)", None),
+    ("python.shell_text", (".py",), rf"\bos\.(?:system|popen)\(\s*{_TEXT}|\bsubprocess\.(?:run|call|Popen|check_output)\(\s*{_TEXT}.*shell\s*=\s*True", None), ("python.weak_hash", (".py",), WEAK_HASH, r"usedforsecurity\s*=\s*False"),
+    ("javascript.sql_template", _SCRIPT, _SQL_TEMPLATE, None), ("typescript.sql_template", _TYPED, _SQL_TEMPLATE, None),
+    ("javascript.html_template", _SCRIPT, _HTML_TEMPLATE, None), ("typescript.html_template", _TYPED, _HTML_TEMPLATE, None),
+)
+RULE_SEVERITY, RULE_CONFIDENCE, RULE_IMPACT = "medium", 0.65, 0.7
+
+
+def rule_findings(lines_of: DataFrame, rules=CODE_RULES) -> DataFrame:
+    """Findings of rules of code, one per line and rule. ``rules`` are rows of CODE_RULES' form, so that users can add their own.
+
+    A call that spans several lines is matched by the line that its name and first argument are in.
+    """
+    path, line = F.col("path"), F.col("line")
+    ending = extension(path)
+    hit = lambda ends, p, unless: ending.isin(*ends) & F.rlike(line, F.lit(p)) & (F.lit(True) if unless is None else ~F.rlike(line, F.lit(unless)))
+    hits = F.array_compact(F.array(*(F.when(hit(ends, p, unless), F.lit(name)) for name, ends, p, unless in rules)))
+    rows = lines_of.where(ending.isin(*sorted({e for _, ends, *_ in rules for e in ends}))).select("path", "line_no", F.explode(hits).alias("name"))
+    what = F.replace(F.element_at(F.split("name", r"\."), -1), F.lit("_"), F.lit(" "))
+    out = rows.select(
+        finding_id(F.lit("rules"), F.col("name"), path, F.col("line_no"), F.lit(1)).alias("id"), F.lit("security").alias("type"), F.lit(RULE_SEVERITY).alias("severity"), path.alias("file_path"), F.col("line_no").alias("line_number"),
+        F.concat(F.lit("Code rule: "), what).alias("title"), F.concat(F.lit("Matched "), F.col("name")).alias("description"), F.lit(RULE_CONFIDENCE).alias("confidence"), F.lit(RULE_IMPACT).alias("impact_score"),
+        F.lit("code_rules").alias("detected_by"), F.col("name").alias("rule_id"), F.col("name").alias("pattern_type"),
+    )
+    return as_findings(out)
+
+
 def imports(lines_of: DataFrame) -> DataFrame:
     """(path, line_no, module): modules that Python lines import, up to the first dot."""
     line = F.col("line")
@@ -136,11 +170,13 @@ def detector_cap(found: DataFrame, order: list[Column], cap: int = 1000) -> Data
 
 
 def pack_by_tokens(texts: DataFrame, max_tokens: int = 1_500_000, max_count: int = 3000, fixed: int = 3750) -> DataFrame:
-    """(…, chunk): greedy chunks in the order of ``id`` under a token and a count budget, by group.
+    """(grp, id, cost, chunk): greedy chunks in the order of ``id`` under a token and a count budget, by group.
 
     A running sum can't say where a greedy chunk ends, so one Python pass runs
     over each group's rows as they stream by in order; it holds two numbers.
-    A row that is over the budget by itself is a chunk alone.
+    A row that is over the budget by itself is a chunk alone. A group of any
+    size is one task's, so large inputs give a ``grp`` for each range of ids:
+    chunks then also end where a range does.
     """
     import pyarrow as pa
 
@@ -177,4 +213,4 @@ def project_signature(files: DataFrame) -> DataFrame:
     return named.groupBy("c.kind").agg(F.min_by(F.struct("path", F.expr("substring(content, 1, c.most)").alias("text")), "c.k").alias("f")).select("kind", "f.*")
 
 
-__all__ = ["any_of", "bandit_rows", "category_topk", "detector_cap", "js_findings", "js_metrics", "js_patterns", "pack_by_tokens", "project_signature", "pylint_rows", "unknown_imports", "weak_crypto"]
+__all__ = ["any_of", "bandit_rows", "category_topk", "detector_cap", "js_findings", "js_metrics", "js_patterns", "pack_by_tokens", "project_signature", "pylint_rows", "rule_findings", "unknown_imports", "weak_crypto"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from . import queries as Q
 from . import values as V
 from . import values_frameworks as R
-from .operators import graph, tools
+from .operators import detect, graph, tools
 from .sources.corpus import LITERAL_FILES, PATH_SQL
 
 
@@ -281,6 +281,13 @@ REVIEW = f"""rows AS (SELECT 'chat/' || conv_id || '/' || turn || '.txt' AS file
   {listed(('critical', 'high', 'medium', 'low', 'info', 'medium'))}[conv_id % 6 + 1] AS severity, {listed(('security', 'privacy', 'code_quality', 'performance', 'architecture', 'todo', 'code_quality'))}[conv_id % 7 + 1] AS type,
   CASE WHEN turn % 3 <> 0 THEN greatest(least((conv_id % 15)::DOUBLE / 10, 1), 0) ELSE 0.7 END AS confidence FROM conversations)"""
 
+KEPT = f"""SELECT * EXCLUDE (detected_at), TIMESTAMP '{Q.AS_OF}' AS detected_at FROM (SELECT *, {PRIORITY} AS pr, row_number() OVER (PARTITION BY file_path, {PRIORITY} ORDER BY {CAP_ORDER}) AS p FROM findings
+  WHERE id NOT IN (SELECT id FROM tools) AND NOT ({FILE_TYPE('file_path')} = 'build_output' OR {has('lower(file_path)', V.EXCLUDED_PARTS)}) AND NOT {ignored()} AND {CONFIDENT} AND NOT {INTERNAL} AND NOT {STYLE}) WHERE p <= CASE WHEN pr THEN 150 ELSE 15 END"""
+FAMILY_TABLES = {"pii": "(SELECT 'privacy' AS type FROM pii_one)", "auth": "auth", "validation": "valid", "moderation": "mod", "markers": "mark", "secrets": "secret"}
+SECRET = f"(type = 'privacy' OR {has("lower(concat_ws(' ', title, pattern_type))", ('hardcoded password', 'hardcoded_secret', 'secret:', 'hardcoded secret'))})"
+# the one character of compatibility that descriptions hold is the mark of what was cut
+PLAIN = "replace(description, '…', '...')"
+
 ORACLES: dict[str, str] = {
     "path_exclude": with_(FILES, f"SELECT path, {_excluded()} AS excluded, ({FILE_TYPE('path')} = 'build_output' OR {has('lower(path)', V.EXCLUDED_PARTS)}) AS artifact FROM files"),
     "file_index_by_ext": with_(FILES, f"SELECT {EXT} AS ext, count(*) AS n, sum(strlen(content))::BIGINT AS bytes FROM files GROUP BY 1"),
@@ -312,14 +319,20 @@ ORACLES: dict[str, str] = {
   SELECT path, line_no, name, type, CASE WHEN type = 'security' AND tested THEN {case('severity', tools.ONE_LOWER)} ELSE severity END AS severity FROM (SELECT *, {case('name', tools.JS_TYPES, lit('security'))} AS type,
     list_has_any(string_split(lower(path), '/'), {listed(V.TEST_DIRS)}) OR starts_with(lower(regexp_extract(path, '[^/]*$')), 'test_') OR {' OR '.join(f"suffix(lower(path), {lit(x)})" for x in V.TEST_NAME_SUFFIXES)} AS tested FROM (
     {' UNION ALL '.join(f"SELECT path, line_no, {lit(n)} AS name, {lit(s)} AS severity FROM js_lines WHERE {EXT} IN {rows([tools.JS_ENDINGS])} AND {rx('line', p, '')}" for n, s, p in (*tools.JS_PATTERNS, tools.GENERIC_KEY, tools.MANY_PARAMETERS))})))""".replace("FROM js_lines", f"FROM (SELECT path, line_no, line FROM lines UNION ALL SELECT * FROM (VALUES {rows(Q.JS_LINES)}) v(path, line_no, line)) j")),
+    "rule_findings": with_(LINES, f"""SELECT {fid(lit('rules'), 'name', 'path', 'line_no', "1")} AS id, 'security' AS type, 'medium' AS severity, path AS file_path, line_no AS line_number, 'Code rule: ' || replace(split_part(name, '.', 2), '_', ' ') AS title, 0.65::DOUBLE AS confidence, 0.7::DOUBLE AS impact_score, 'code_rules' AS detected_by, name AS pattern_type FROM (
+    {' UNION ALL '.join(f"SELECT path, line_no, {lit(n)} AS name FROM code_lines WHERE {EXT} IN {rows([ends])} AND {rx('line', p, '')}" + (f" AND NOT {rx('line', unless, '')}" if unless else '') for n, ends, p, unless in tools.CODE_RULES)})""".replace("FROM code_lines", f"FROM (SELECT path, line_no, line FROM lines UNION ALL SELECT * FROM (VALUES {rows(Q.RULE_LINES)}) v(path, line_no, line)) c")),
+    "flagship": with_(FINDINGS + f", kept AS ({KEPT})" + SCORED[len(FINDINGS) :].replace("FROM findings)", "FROM kept)"), f"SELECT id, type, severity, file_path, line_number, title, confidence, detected_by, ranking_score FROM scored ORDER BY {RANK_ORDER} LIMIT 20"),
+    "scan_modes": with_(FINDINGS, " UNION ALL ".join(f"SELECT {lit(mode)} AS mode, type, count(*) AS n FROM ({' UNION ALL '.join(f'SELECT type FROM {FAMILY_TABLES[f]}' for f in families)}) GROUP BY type" for mode, families in detect.MODES.items())),
+    "sanitized": with_(FINDINGS, f"""SELECT id, type, md5(CASE WHEN type = 'privacy' THEN 'Personal data detected (value redacted)' WHEN {SECRET} THEN 'Credential (value redacted)' ELSE {redacted(PLAIN)} END) AS description,
+  NOT (detected_by IN ('auth_pattern_analyzer', 'input_validation_analyzer', 'SecretsScanner') AND NOT {SECRET}) AS no_snippet FROM findings"""),
     "js_metrics": r"""SELECT 'web/' || page_id || '.html' AS path, len(string_split(h, chr(10)))::BIGINT AS loc, len(regexp_extract_all(h, '\bfunction\b|=>'))::BIGINT AS functions, len(regexp_extract_all(h, '\bclass\s+[A-Za-z_]'))::BIGINT AS classes,
   len(regexp_extract_all(h, '(?m)^\s*import\b|\brequire\s*\('))::BIGINT AS imports, len(regexp_extract_all(h, '\b(?:if|for|while|case|catch)\b|\?\s|&&|\|\|'))::BIGINT AS branches FROM (SELECT page_id, coalesce(html, '') AS h FROM pages)""",
     "weak_crypto": with_(LINES, rf"SELECT path, line_no FROM lines WHERE suffix(path, '.py') AND {rx('line', tools.WEAK_HASH, '')} AND NOT regexp_matches(line, 'usedforsecurity\s*=\s*False')"),
     "normalize_tool_rows": with_(TOOL_ROWS, f"SELECT {SHORT} FROM tool_rows"),
     "tool_filters": with_(TOOL_ROWS + ", " + TOOLS, f"""SELECT id, ({has('lower(title)', V.STYLE_TITLES)} OR ({TEST_FILE} AND {has("lower(title || chr(10) || description)", V.TEST_NOISE)})) AS noise,
   CASE WHEN type = 'code_quality' AND {has('lower(title)', V.STYLE_WORDS)} AND {STEP_ONE} = 'medium' THEN 'low' ELSE {STEP_ONE} END AS adjusted_severity FROM (SELECT {SHORT}, description FROM tool_rows UNION ALL SELECT {SHORT}, description FROM tools)"""),
-    "category_topk": with_(FINDINGS, f"SELECT {SHORT} FROM (SELECT *, row_number() OVER (PARTITION BY pattern_type ORDER BY {RANK('severity')} DESC, confidence DESC, file_path, line_number NULLS LAST, id) AS p FROM findings) WHERE p <= 5 AND confidence >= 0.80"),
-    "detector_cap": with_(FINDINGS, f"SELECT {SHORT} FROM (SELECT *, row_number() OVER (PARTITION BY detected_by ORDER BY (severity <> 'critical')::INT, {RANK('severity')} DESC, confidence DESC, file_path, line_number NULLS LAST, pattern_type, id) AS p FROM findings) WHERE p <= 8 OR severity = 'critical'"),
+    "category_topk": with_(FINDINGS, f"SELECT {SHORT} FROM (SELECT *, row_number() OVER (PARTITION BY pattern_type ORDER BY {RANK('severity')} DESC, confidence DESC, file_path, line_number NULLS LAST, id) AS p FROM findings) WHERE p <= 20 AND confidence >= 0.80"),
+    "detector_cap": with_(FINDINGS, f"SELECT {SHORT} FROM (SELECT *, row_number() OVER (PARTITION BY detected_by ORDER BY (severity <> 'critical')::INT, {RANK('severity')} DESC, confidence DESC, file_path, line_number NULLS LAST, pattern_type, id) AS p FROM findings) WHERE p <= 1000 OR severity = 'critical'"),
     "dead_symbols": f"""WITH words AS (SELECT {PATH_SQL} AS path, doc_id::INT AS line, regexp_extract_all(text, '[A-Za-z_]+') AS w FROM documents WHERE text IS NOT NULL),
 defs AS (SELECT path, line, w[1] AS name FROM words WHERE len(w) > 0), uses AS (SELECT DISTINCT unnest(w[2:]) AS name FROM words),
 dead AS (SELECT * FROM defs WHERE name NOT IN (SELECT name FROM uses) AND NOT (lower(name) IN {rows([graph.ENTRY_NAMES])} OR {' OR '.join(f'starts_with(name, {lit(p)})' for p in graph.NAME_PREFIXES)} OR {has('lower(path)', graph.PATH_PARTS)} OR contains(lower(name), 'command') OR suffix(name, '_cmd')))
@@ -341,9 +354,9 @@ FROM (SELECT file_path, {FILE_TYPE('file_path')} AS ft FROM (SELECT path AS file
     "ignore_filter": with_(FINDINGS, f"SELECT id, file_path, detected_by, pattern_type FROM findings WHERE NOT {ignored()}"),
     "noise_confidence": with_(FINDINGS, f"SELECT type, severity, count(*) AS n FROM findings WHERE {CONFIDENT} GROUP BY ALL"),
     "noise_internal_and_style": with_(TOOLS, f"SELECT id, coalesce({PACKAGE}, '') AS package, {INTERNAL} AS internal, {STYLE} AS style FROM tools"),
-    "noise_per_file_cap": with_(FINDINGS, f"SELECT id, file_path, type, severity FROM (SELECT *, {PRIORITY} AS pr, row_number() OVER (PARTITION BY file_path, {PRIORITY} ORDER BY {CAP_ORDER}) AS p FROM findings) WHERE p <= CASE WHEN pr THEN 20 ELSE 2 END"),
+    "noise_per_file_cap": with_(FINDINGS, f"SELECT id, file_path, type, severity FROM (SELECT *, {PRIORITY} AS pr, row_number() OVER (PARTITION BY file_path, {PRIORITY} ORDER BY {CAP_ORDER}) AS p FROM findings) WHERE p <= CASE WHEN pr THEN 150 ELSE 15 END"),
     "noise_stats": with_(FINDINGS, f"""SELECT count(*) AS original, count(*) FILTER (s = 'confidence') AS dropped_confidence, count(*) FILTER (s = 'internal') AS dropped_internal, count(*) FILTER (s = 'style') AS dropped_style, count(*) FILTER (s = 'passed' AND p > lim) AS dropped_cap, count(*) FILTER (s = 'passed' AND p <= lim) AS kept,
-  round((count(*) - count(*) FILTER (s = 'passed' AND p <= lim))::DOUBLE / count(*) * 100, 2) AS reduction FROM (SELECT *, CASE WHEN {PRIORITY} THEN 20 ELSE 2 END AS lim, row_number() OVER (PARTITION BY s, file_path, {PRIORITY} ORDER BY {CAP_ORDER}) AS p FROM (SELECT *, CASE WHEN NOT {CONFIDENT} THEN 'confidence' WHEN {INTERNAL} THEN 'internal' WHEN {STYLE} THEN 'style' ELSE 'passed' END AS s FROM findings))"""),
+  round((count(*) - count(*) FILTER (s = 'passed' AND p <= lim))::DOUBLE / count(*) * 100, 2) AS reduction FROM (SELECT *, CASE WHEN {PRIORITY} THEN 150 ELSE 15 END AS lim, row_number() OVER (PARTITION BY s, file_path, {PRIORITY} ORDER BY {CAP_ORDER}) AS p FROM (SELECT *, CASE WHEN NOT {CONFIDENT} THEN 'confidence' WHEN {INTERNAL} THEN 'internal' WHEN {STYLE} THEN 'style' ELSE 'passed' END AS s FROM findings))"""),
     "reduced_findings": with_(FINDINGS, f"SELECT {SHORT} FROM (SELECT *, {PRIORITY} AS pr, row_number() OVER (PARTITION BY file_path, {PRIORITY} ORDER BY {CAP_ORDER}) AS p FROM findings WHERE {CONFIDENT} AND NOT {INTERNAL} AND NOT {STYLE}) WHERE p <= CASE WHEN pr THEN 150 ELSE 15 END"),
     "developer_mode": with_(FINDINGS, f"SELECT id, file_path FROM findings WHERE {FILE_TYPE('file_path')} = 'source_code'"),
     "review_filter": with_(REVIEW, f"""SELECT 'ai_review_' || substr(sha1(file || '|' || line || '|' || title || '|' || description), 1, 12) AS id, type, severity, file AS file_path, line AS line_number, title, round(confidence, 6) AS confidence, {case('severity', V.REVIEW_IMPACT)}::DOUBLE AS impact_score, 'ai-reviewer' AS detected_by FROM rows WHERE title IS NOT NULL AND {CONFIDENT}"""),
@@ -377,7 +390,7 @@ JOIN (SELECT file_path, string_agg(line || ':' || c, ',' ORDER BY line) AS issue
     "exec_categories": with_(FINDINGS, f"SELECT category, n, row_number() OVER (ORDER BY n DESC, category)::INT AS place FROM (SELECT {CATEGORY} AS category, count(*) AS n FROM findings GROUP BY 1)"),
     "fallback_risk": with_(FINDINGS, "SELECT *, CASE WHEN critical > 0 OR high >= 5 THEN 'HIGH' WHEN high > 0 OR total >= 10 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM (SELECT count(*) AS total, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high FROM findings)"),
     "recommendation_top3": with_(FINDINGS, f"""SELECT id, severity, file_path, line_number, title, (p > 1)::INT AS repeated FROM (SELECT *, row_number() OVER (PARTITION BY file_path, trim(title) ORDER BY (severity <> 'critical')::INT, impact_score DESC, {TIES}) AS p FROM findings WHERE {CRITICAL} AND {FILE_TYPE('file_path')} = 'source_code') ORDER BY p > 1, (severity <> 'critical')::INT, impact_score DESC, {TIES} LIMIT 3"""),
-    "typed_blocks": with_(BLOCKS, "SELECT block, place::INT AS place, id, file_path, line_number, severity, title, greatest(n - 10, 0) AS dropped FROM placed WHERE place <= 10"),
+    "typed_blocks": with_(BLOCKS, "SELECT block, place::INT AS place, id, file_path, line_number, severity, title, greatest(n - 50, 0) AS dropped FROM placed WHERE place <= 50"),
     "production_focus": with_(BLOCKS, f"SELECT block, place::INT AS place, id, file_path, line_number FROM placed WHERE place <= 50 AND block <> 'other' AND {FILE_TYPE('file_path')} = 'source_code' ORDER BY {case('block', {b: k for k, b in enumerate(V.BLOCKS)})}, place LIMIT 25"),
     "remediation_dict": with_(FINDINGS, "SELECT 'rem_' || lpad((row_number() OVER (ORDER BY encode(t)))::VARCHAR, 3, '0') AS ref, t AS text FROM (SELECT DISTINCT trim(remediation) AS t FROM findings WHERE len(trim(remediation)) > 0)"),
     "fp_likelihood": with_(FINDINGS, f"SELECT id, file_path, line_number, detected_by, CASE WHEN ft = 'source_code' AND confidence >= 0.85 AND lower(detected_by) IN {rows([V.PRECISE_DETECTORS])} THEN 'LOW' WHEN ft <> 'source_code' AND confidence <= 0.75 AND lower(detected_by) IN {rows([V.KEYWORD_DETECTORS])} THEN 'HIGH' ELSE 'MEDIUM' END AS likelihood FROM (SELECT *, {FILE_TYPE('file_path')} AS ft FROM findings)"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import values as V
 from .functions.columns import extension, lookup, path_parts
+from .functions.lineage import settled
 from .operators import classify, detect, filters, frameworks, graph, incremental, pyast, rank, redact, rollup, tools
 from .plans import scan as plans
 from .schema import as_findings, finding_id
@@ -268,6 +269,20 @@ def js_findings(spark, sf_dir):
     return tools.js_findings(rows).select(*"id type severity file_path line_number title confidence impact_score detected_by pattern_type".split())
 
 
+#: Lines that the files don't hold, for each rule of code, and what it lets pass.
+RULE_LINES = (
+    ("src/rules.py", 1, 'cur.execute(f"select {x}")'), ("src/rules.py", 2, "cur.execute('select ' + x)"), ("src/rules.py", 3, "cur.execute('select ?', (x,))"), ("src/rules.py", 4, "db.execute(raw_sql)"), ("src/rules.py", 5, 'os.system(f"rm {x}")'),
+    ("src/rules.py", 6, 'subprocess.run(f"ls {x}", shell=True)'), ("src/rules.py", 7, 'subprocess.run(f"ls {x}")'), ("src/rules.py", 8, "hashlib.md5(x, usedforsecurity=False)"), ("src/rules.py", 9, "hashlib.sha1(x)"),
+    ("web/rules.js", 1, "db.query(`select ${x}`)"), ("web/rules.ts", 2, "db.exec(`drop ${x}`)"), ("web/rules.ts", 3, "db.exec(`drop ${x}`, y)"), ("web/rules.jsx", 4, "el.innerHTML = `<b>${x}</b>`"), ("web/rules.tsx", 5, "document.write(`${x}`)"), ("web/rules.tsx", 6, "el.textContent = `${x}`"),
+)
+
+
+@query
+def rule_findings(spark, sf_dir):
+    rows = _lines(spark, sf_dir).select("path", "line_no", "line").unionByName(_literals(spark, RULE_LINES, "path string, line_no int, line string"))
+    return _short(tools.rule_findings(rows))
+
+
 @query
 def js_metrics(spark, sf_dir):
     pages = corpus.table(spark, sf_dir, "pages").select(F.concat(F.lit("web/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.coalesce("html", F.lit("")).alias("content"))
@@ -300,13 +315,13 @@ def tool_filters(spark, sf_dir):
 @query
 def category_topk(spark, sf_dir):
     order = [F.desc(filters.severity_rank()), F.desc("confidence"), F.asc("file_path"), F.asc_nulls_last("line_number"), F.asc("id")]
-    return _short(tools.category_topk(_findings(spark, sf_dir), "pattern_type", order, 5))
+    return _short(tools.category_topk(_findings(spark, sf_dir), "pattern_type", order))
 
 
 @query
 def detector_cap(spark, sf_dir):
     order = [F.desc(filters.severity_rank()), F.desc("confidence"), F.asc("file_path"), F.asc_nulls_last("line_number"), F.asc("pattern_type"), F.asc("id")]
-    return _short(tools.detector_cap(_findings(spark, sf_dir), order, 8))
+    return _short(tools.detector_cap(_findings(spark, sf_dir), order))
 
 
 # cross-file
@@ -404,12 +419,12 @@ def noise_internal_and_style(spark, sf_dir):
 
 @query
 def noise_per_file_cap(spark, sf_dir):
-    return filters.per_file_cap(_findings(spark, sf_dir), 2).select("id", "file_path", "type", "severity")
+    return filters.per_file_cap(_findings(spark, sf_dir)).select("id", "file_path", "type", "severity")
 
 
 @query
 def noise_stats(spark, sf_dir):
-    return filters.noise_stats(_findings(spark, sf_dir), "project", 2)
+    return filters.noise_stats(_findings(spark, sf_dir))
 
 
 @query
@@ -584,7 +599,7 @@ def recommendation_top3(spark, sf_dir):
 
 @query
 def typed_blocks(spark, sf_dir):
-    return rollup.typed_blocks(_findings(spark, sf_dir), 10)
+    return rollup.typed_blocks(_findings(spark, sf_dir))
 
 
 @query
@@ -687,46 +702,57 @@ CODE_FILES = (
     ("src/third.py", "import logging\n\ndef area(a, *more):\n    try:\n        return a.x, a.y, a.z\n    except ValueError:\n        logging.error('no')\n"),
     ("src/flow.py", "import subprocess\nfrom flask import request\n\ndef view(db):\n    name = request.args['n']\n    sql = 'select ' + name\n    db.execute(sql)\n    db.execute('select ?', (name,))\n    subprocess.run(int(name))\n    eval(name)\n"),
     ("src/branchy.py", "def f(a, b, c):\n" + "".join(f"    if a == {k} and b:\n        c += {k}\n" for k in range(8)) + "    return c\n"),
+    ("src/calls.py", "from flask import request\n\ndef entry(db):\n    passed(db, request.args['q'])\n\ndef passed(db, text, *, safe=None):\n    last(db, text + '!')\n    other(int(text))\n\ndef last(db, sql):\n    db.execute(sql)\n\ndef other(n):\n    eval(n)\n"),
     ("src/broken.py", "def f(:\n"),
 )
 
 
-def _code(spark):
-    return _literals(spark, CODE_FILES, "path string, content string")
+def _code(spark, sf_dir):
+    return _literals(spark, CODE_FILES, "path string, content string").unionByName(_files(spark, sf_dir))
 
 
 @query
 def ast_findings(spark, sf_dir):
-    files = _code(spark).unionByName(_files(spark, sf_dir))
-    return _short(pyast.syntax_findings(files))
+    return _short(pyast.syntax_findings(_code(spark, sf_dir)))
 
 
 @query
 def ast_coherence(spark, sf_dir):
-    facts = pyast.facts(_code(spark))
+    facts = settled(pyast.facts(_code(spark, sf_dir)))
     of = lambda k: facts.where(F.col("kind") == k)
     return graph.violations(of("signature"), of("access"), of("handler"))
 
 
 @query
 def ast_dead_symbols(spark, sf_dir):
-    facts = pyast.facts(_code(spark))
+    facts = settled(pyast.facts(_code(spark, sf_dir)))
     return graph.dead_symbols(facts.where("kind = 'def'"), facts.where("kind = 'use'"), tolerated=1)
 
 
 @query
 def ast_call_reach(spark, sf_dir):
-    calls = pyast.facts(_code(spark)).where("kind = 'call'").select(F.col("name").alias("src"), F.col("detail").alias("dst")).distinct()
+    calls = pyast.facts(_code(spark, sf_dir)).where("kind = 'call'").select(F.col("name").alias("src"), F.col("detail").alias("dst")).distinct()
     return graph.reach(calls, _literals(spark, [("use",), ("view",)], "node string"))
 
 
+@query
+def taint_flows(spark, sf_dir):
+    return _short(graph.taint_flows(pyast.facts(_code(spark, sf_dir))))
+
+
 # the whole
 
 
+@query
+def full_scan(spark, sf_dir):
+    """Every detector over documents and code, adjusted by frameworks, suppressed and reduced."""
+    return _short(plans.scan(_code(spark, sf_dir), globs=GLOBS, types=TYPES))
+
+
 @query
 def flagship(spark, sf_dir):
-    """Documents to the 20 findings that matter most."""
-    found = plans.scan(_files(spark, sf_dir), globs=GLOBS, types=TYPES)
+    """Documents to the 20 findings of line detectors that matter most."""
+    found = plans.scan(_files(spark, sf_dir), globs=GLOBS, types=TYPES, deep=False)
     found = found.withColumn("detected_at", F.lit(AS_OF).cast("timestamp"))
     ranked = rank.top(rank.scored(found, AS_OF), 20)
     return ranked.select("id", "type", "severity", "file_path", "line_number", "title", "confidence", "detected_by", "ranking_score")

@@ -21,9 +21,9 @@ def as_findings(df: DataFrame) -> DataFrame:
     return df.select(*((F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in FINDING))
 
 
-def finding_id(*parts: Column) -> Column:
+def finding_id(*parts: Column | str) -> Column:
     """The same id in every run: 12 hex digits of the parts' hash."""
-    return F.substring(F.sha2(F.concat_ws("|", *(p.cast("string") for p in parts)), 256), 1, 12)
+    return F.substring(F.sha2(F.concat_ws("|", *((F.col(p) if isinstance(p, str) else p).cast("string") for p in parts)), 256), 1, 12)
 
 
 def validated(df: DataFrame) -> DataFrame:

@@ -242,3 +242,63 @@ def test_scan_is_the_same_for_any_partitioning(spark):
     files = corpus.literal_files(spark)
     one = {tuple(r) for r in plans.ranked(files.repartition(1)).select("id", "ranking_score").collect()}
     assert one == {tuple(r) for r in plans.ranked(files.repartition(5)).select("id", "ranking_score").collect()}
+
+
+def test_flows_through_calls(spark):
+    """Input is followed through parameters, keyword arguments and several files; what is cleaned or isn't input stops it."""
+    code = [
+        ("a.py", "from flask import request\ndef start(db):\n    one(db, text=request.args['q'])\n    safe(int(request.args['n']))\n"),
+        ("b.py", "def one(db, text):\n    sql = 'x' + text\n    two(db, sql)\n    eval('fixed')\n"),
+        ("c.py", "class Box:\n    def two(self, db, sql):\n        db.execute(sql)\n        self.keep(db)\n\ndef safe(n):\n    eval(n)\n\ndef loop(x):\n    loop(x)\n"),
+        ("d.py", "def never(x):\n    eval(x)\n"),
+    ]
+    facts = pyast.facts(spark.createDataFrame(code, "path string, content string"))
+    found = graph.taint_flows(facts).collect()
+    assert [(r["file_path"], r["line_number"], r["severity"], r["pattern_type"]) for r in found] == [("c.py", 3, "critical", "reach_sql_injection")]
+    assert graph.taint_flows(facts.limit(0)).count() == 0
+
+
+def test_reach_goes_all_the_way(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(60)], "src int, dst int")
+    assert graph.reach(edges, spark.createDataFrame([(0,)], "node int")).selectExpr("max(depth)").first()[0] == 60
+
+
+def test_first_pairs_of_many_signatures(spark):
+    """The first pairs by place are those of all pairs, although few signatures are paired."""
+    rows = [("run", f"({(k * 7) % 30})", f"f{k:03}.py", 1) for k in range(60)] + [("one", "()", "x.py", 1)]
+    got = graph.first_mismatches(spark.createDataFrame(rows, "name string, detail string, path string, line int"), 20)
+    first = {}
+    for _, detail, path, line in sorted(rows[:60], key=lambda r: r[2]):
+        first.setdefault(detail, (path, line, detail))
+    places = sorted(first.values())
+    pairs = sorted((a[0], b[0]) for k, a in enumerate(places) for b in places[k + 1 :])
+    assert sorted((r["path_a"], r["path_b"]) for r in got.collect())[:20] == pairs[:20]
+
+
+def test_first_pairs_of_mixed_access(spark):
+    rows = [("d", f"{'dict' if k % 2 else 'attr'}:{j}", f"f{k:03}.py") for k in range(100) for j in range(3)]
+    df = spark.createDataFrame(rows, "name string, detail string, path string")
+    order = lambda x: sorted((r["dict_path"], r["attr_path"]) for r in x.collect())
+    assert order(graph.mixed_access(df, most=5))[:5] == order(graph.mixed_access(df))[:5]
+
+
+def test_utf16_clamp(spark):
+    texts = ["", "abcd", "abcde", "ab\U0001f600\U0001f600", "abc\U0001f600x", "\U0001f600\U0001f600\U0001f600", "é" * 9, None]
+    got = [r[0] for r in spark.createDataFrame([(t, k) for k, t in enumerate(texts)], "t string, k int").select(filters.clamp_utf16(F.col("t"), 4), "k").orderBy("k").collect()]
+    want = [None if t is None else t.encode("utf-16-le")[:8].decode("utf-16-le", "ignore") for t in texts]
+    assert got == want
+
+
+def test_scan_runs_everything(spark):
+    """A full scan holds findings of line detectors, of syntax trees, of scripts, of rules and of flows, each with a contract's columns."""
+    code = [
+        ("src/a.py", "from flask import request\ndef start(db):\n    one(db, request.args['q'])\n\ndef one(db, sql):\n    db.execute(sql)\n    x = hashlib.md5(sql)\n"),
+        ("src/b.js", "eval(x)\n"), ("src/c.py", "ssn 412-87-6534\n"), ("build/d.js", "eval(x)\n"),
+    ]
+    found = plans.scan(spark.createDataFrame(code, "path string, content string"))
+    assert found.columns == [n for n, _ in schema.FINDING]
+    told = {(r["detected_by"], r["file_path"]) for r in found.collect()}
+    assert {("taint_reach", "src/a.py"), ("code_rules", "src/a.py"), ("javascript_patterns", "src/b.js"), ("SyntaxDetector", "src/c.py"), ("privacy_detector", "src/c.py")} <= told
+    assert not any(p.startswith("build/") for _, p in told)
+    few = plans.scan(spark.createDataFrame(code, "path string, content string"), deep=False)
+    assert {r["detected_by"] for r in few.collect()} <= {"privacy_detector", "auth_pattern_analyzer", "input_validation_analyzer", "SecretsScanner", "ContentModerationScanner", "legacy_patterns"}
