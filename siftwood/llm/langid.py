@@ -42,7 +42,8 @@ def _letters() -> np.ndarray:
     """Code points that are letters, by Python's table."""
     global _is_letter
     if _is_letter is None:
-        _is_letter = np.fromiter((chr(i).isalpha() for i in range(0x30000)), bool, 0x30000)
+        # the planes above hold no letters
+        _is_letter = np.fromiter((chr(i).isalpha() for i in range(0x34000)), bool, 0x34000)
     return _is_letter
 
 
@@ -72,7 +73,7 @@ class Text:
         at, c = code_points(raw)
         letter = np.zeros(len(raw), bool)
         script = np.full(len(raw), OTHER, np.uint8)
-        is_letter = table[np.minimum(c, len(table) - 1)]
+        is_letter = (c < len(table)) & table[np.minimum(c, len(table) - 1)]
         letter[at] = is_letter
         odd = is_letter & (c >= 0x250)
         script[at[is_letter]] = 0

@@ -734,3 +734,10 @@ def test_same_as_sql(spark, duck, name):
     assert len(rows) == len(expect)
     fix = lambda r: tuple(round(x, 6) if isinstance(x, float) else x for x in r)
     assert sorted(map(fix, map(tuple, got.select(*names).collect())), key=repr) == sorted(map(fix, expect), key=repr)
+
+
+def test_letters_of_high_planes():
+    """Letters are told as Python tells them, up to the last code point."""
+    for c in map(chr, (0x41, 0xE9, 0x2FA1D, 0x30000, 0x31350, 0x323AF, 0x33FFF, 0x34000, 0xE0041, 0x10FFFF)):
+        raw = np.frombuffer(f"1 {c} 2".encode(), np.uint8)
+        assert langid.Text(raw, np.array([0, len(raw)])).letters.sum() == c.isalpha(), hex(ord(c))
