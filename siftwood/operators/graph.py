@@ -26,13 +26,16 @@ def is_special(name: Column, path: Column) -> Column:
 def dead_symbols(defs: DataFrame, uses: DataFrame, tolerated: int = TOLERATED, reported: int = REPORTED) -> DataFrame:
     """Definitions (name, path, line) whose name nothing uses: none if there are few, else the first by path, line and name.
 
-    The count is over the same rows as the report, so the plan has one
-    anti-join; its single row is joined, not collected.
+    Whether there are more than ``tolerated`` shows in the first rows, so the
+    dead are found once and never counted; of each name, its first rows decide,
+    however often it is defined.
     """
-    dead = defs.join(uses.select("name").distinct(), "name", "left_anti").where(~is_special(F.col("name"), F.col("path")))
-    n = dead.agg(F.count("*").alias("n"))
-    first = dead.select("path", "line", "name").orderBy("path", "line", "name").limit(reported)
-    return first.join(F.broadcast(n), F.col("n") > tolerated).drop("n")  # one row
+    most = max(reported, tolerated + 1)
+    defs = _first_each(defs.select("path", "line", "name").where(~is_special(F.col("name"), F.col("path"))), ["path", "line"], most)
+    dead = defs.join(uses.select("name").distinct(), "name", "left_anti")
+    first = dead.select("path", "line", "name").orderBy("path", "line", "name").limit(most)
+    # at most ``most`` rows
+    return first.agg(F.sort_array(F.collect_list(F.struct("path", "line", "name"))).alias("first")).where(F.size("first") > tolerated).select(F.inline(F.slice("first", 1, reported)))
 
 
 def _first_each(df: DataFrame, order: list[str], most: int) -> DataFrame:

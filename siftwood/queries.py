@@ -327,17 +327,14 @@ def detector_cap(spark, sf_dir):
 # cross-file
 
 
-def _tokens(spark, sf_dir):
-    docs = corpus.table(spark, sf_dir, "documents").where("text is not null").select(F.expr(corpus.PATH_SQL).alias("path"), "doc_id", F.split("text", r"[^A-Za-z_]+").alias("words"))
-    return docs
-
-
 @query
 def dead_symbols(spark, sf_dir):
-    words = _tokens(spark, sf_dir)
-    defs = words.select("path", F.col("doc_id").cast("int").alias("line"), F.element_at(F.filter("words", lambda w: F.length(w) > 0), 1).alias("name")).where("name is not null")
-    uses = words.select(F.explode(F.array_distinct(F.slice(F.filter("words", lambda w: F.length(w) > 0), 2, 1 << 30))).alias("name"))
-    return graph.dead_symbols(defs, uses)
+    docs = corpus.table(spark, sf_dir, "documents").where("text is not null")
+    # exploded, so that filters on a name do not search the text once more each
+    first = F.explode(F.array(F.regexp_extract("text", "[A-Za-z_]+", 0))).alias("name")
+    defs = docs.select(F.expr(corpus.PATH_SQL).alias("path"), F.col("doc_id").cast("int").alias("line"), first).where("name <> ''")
+    later = F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z_]+"), F.lit(0)), 2, 1 << 30)
+    return graph.dead_symbols(defs, docs.select(F.explode(F.array_distinct(later)).alias("name")))
 
 
 @query

@@ -6,12 +6,15 @@ import json
 import os
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from siftwood import schema
 from siftwood.operators import filters, graph, incremental, pyast, rank, rollup, tools
+from siftwood.oracles import ORACLES
 from siftwood.plans import scan as plans
+from siftwood.queries import QUERIES
 from siftwood.sources import corpus, readers, sinks
 from siftwood.streaming import watch
 
@@ -175,6 +178,17 @@ def test_cross_file(spark):
     assert graph.dead_symbols(spark.createDataFrame([(f"n{k}", "src/x.py", k) for k in range(20)], "name string, path string, line int"), of("use")).count() == 10
 
 
+def test_dead_symbols_odd(spark, tmp_path):
+    """Texts without a word define nothing; a name that many documents define counts as often, also if it is used in the last."""
+    texts = [None, "", "123 456", "日本語", *(f"name{'x' * k} = 1" for k in range(9)), *["again: 2"] * 20, "main = app", "; late: used used", *["used = 3"] * 20]
+    rows = [(k * 8 + 4, t) for k, t in enumerate(texts)] + [(None, "nowhere = 1")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    duck = duckdb.connect()
+    duck.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    expect = duck.sql(ORACLES["dead_symbols"]).fetchall()
+    assert len(expect) == 10 and [tuple(r) for r in QUERIES["dead_symbols"](spark, str(tmp_path)).collect()] == expect
+
+
 def test_reach(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (1, 3), (5, 6)], "src int, dst int")
     assert {r["node"]: r["depth"] for r in graph.reach(edges, spark.createDataFrame([(1,)], "node int")).collect()} == {1: 0, 2: 1, 3: 1}
