@@ -1,9 +1,9 @@
 """Quality rules, and a hashed n-gram log-likelihood ratio for what passes them.
 
-The trusted target is the labelled rows of quality 1, the raw corpus is every
+The trusted target is all labelled rows of quality 1, the raw corpus is every
 document. Both are multinomials over BUCKETS hashed one- and two-word grams.
 A document's score is the mean over its grams of log p_target - log p_raw, and
-it is kept from the threshold on: no draw is made.
+it is kept from the threshold on, which all labelled rows fix: no draw is made.
 """
 
 from __future__ import annotations
@@ -20,8 +20,6 @@ from .shared import cut, text_of
 from .totals import dense_totals
 
 BUCKETS = 16384
-#: Labelled rows of each class that the target and the threshold are fitted on, at most; the first by a hash of the id.
-SAMPLE = 10_000
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -88,10 +86,9 @@ def _count(batch: pa.RecordBatch, total: np.ndarray) -> None:
 
 @dataclass
 class Ratio:
-    """log p_target - log p_raw by bucket, and the least mean that is kept."""
+    """log p_target - log p_raw by bucket."""
 
     weights: np.ndarray
-    threshold: float
 
     def scores(self, w) -> np.ndarray:
         b, doc = _buckets(w)
@@ -99,64 +96,68 @@ class Ratio:
         return np.bincount(doc, self.weights[b], minlength=len(n)) / np.maximum(n, 1)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str, most: int = SAMPLE, where: str = "true") -> DataFrame:
-    """(text, label) of at most ``most`` labelled documents of each class, the first by a hash of the id.
+def known_labels(labels: DataFrame, column: str) -> DataFrame:
+    """(labelled_id, label): one row per labelled id; contradicting labels count as 0."""
+    return labels.where(f"doc_id is not null and {column} is not null").groupBy(F.col("doc_id").cast("long").alias("labelled_id")).agg(F.min(F.col(column).cast("int")).alias("label"))
 
-    Contradicting labels of one id count as 0. The ids that are sent to all
-    executors are at most twice ``most``, whatever the input's size.
+
+def fit(docs: DataFrame, labels: DataFrame) -> Ratio | None:
+    """The ratio for docs, counted over all of them and all trusted ones; None if no row is trusted.
+
+    Labels may be as many as documents, so texts and labels meet by shuffle;
+    only the labels of a partition are held in memory.
     """
-    known = labels.where(f"doc_id is not null and {column} is not null").groupBy(F.col("doc_id").cast("long").alias("labelled_id")).agg(F.min(F.col(column).cast("int")).alias("label"))
-    picked = None
-    for k in (0, 1):
-        part = known.where(F.col("label") == k).where(where).orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(most)
-        picked = part if picked is None else picked.unionByName(part)
-    picked = cut(picked, "picked")
-    return cut(text_of(docs).join(F.broadcast(picked), F.col("doc_id") == F.col("labelled_id")).select("labelled_id", "text", "label"), "labelled")
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ratio | None:
-    """The ratio for docs; None if no row is trusted."""
-    known = labelled(docs, labels, "quality", sample)
-    target = dense_totals(known.where("label = 1"), _count, BUCKETS)
+    good = known_labels(labels, "quality").where("label = 1").hint("shuffle_hash")
+    trusted = text_of(docs).where("text is not null").join(good, F.col("doc_id") == F.col("labelled_id")).select("text")
+    target = dense_totals(trusted, _count, BUCKETS)
     if not target.sum():
         return None
     raw = dense_totals(text_of(docs), _count, BUCKETS)
-    weights = np.log((target + 0.5) / (target.sum() + 0.5 * BUCKETS)) - np.log((raw + 0.5) / (raw.sum() + 0.5 * BUCKETS))
-    model = Ratio(weights, 0.0)
-
-    def score(it):
-        for batch in it:
-            scores, failed = [np.zeros(0)], [np.zeros(0, bool)]
-            for _, _, w in each(batch.column("text")):
-                scores.append(model.scores(w))
-                failed.append(base_failed(base_counts(w)))
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(np.concatenate(scores))], ["label", "score"]).filter(pa.array(~np.concatenate(failed)))
-
-    # at most twice ``sample`` numbers
-    found = known.select("label", "text").mapInArrow(score, "label int, score double").collect()
-    model.threshold = cut_between(np.sort([r[1] for r in found if r[0] == 0]), np.sort([r[1] for r in found if r[0] == 1]))
-    return model
+    return Ratio(np.log((target + 0.5) / (target.sum() + 0.5 * BUCKETS)) - np.log((raw + 0.5) / (raw.sum() + 0.5 * BUCKETS)))
 
 
-def cut_between(bad: np.ndarray, good: np.ndarray) -> float:
-    """The threshold that rejects the largest share of bad less the share of good; in the middle of its gap, the lowest of equals."""
-    if not len(good) or not len(bad):
-        return -np.inf
-    at = np.unique(np.concatenate([bad, good]))
-    gain = np.searchsorted(bad, at, "left") / len(bad) - np.searchsorted(good, at, "left") / len(good)
-    k = int(np.argmax(gain))
-    return float(at[0] if k == 0 else (at[k - 1] + at[k]) / 2)
+def least_kept(scored: DataFrame, labels: DataFrame) -> float:
+    """The threshold for scored (doc_id, base_failed, llr): cut_between over all labelled rows that pass the base rules."""
+    good = known_labels(labels, "quality").hint("shuffle_hash")
+    return cut_between(cut(scored.where("not base_failed").join(good, F.col("doc_id") == F.col("labelled_id")).select("label", F.col("llr").alias("score")), "labelled-scores"))
 
 
-def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """One row per row of docs: doc_id, the base columns, base_failed, llr, kept.
+def cut_between(found: DataFrame) -> float:
+    """The score that rejects the largest share of label 0 less the share of label 1; in the middle of its gap, the lowest of equals.
 
-    Reads ``doc_id`` and ``text`` only, and of labels ``doc_id`` and
-    ``quality``. A null or empty text has no words, fails the base rules and
-    has llr 0. Repeated rows give repeated rows. Without a trusted label the
-    base rules decide alone. An empty table gives an empty result.
+    Scores are counted, then sorted in ranges over all tasks. Where a range's best
+    cut is does not depend on the rows below it, so one row per range is collected.
     """
-    model = fit(docs, labels, sample)
+    sizes = {r["label"]: r["n"] for r in found.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n_bad, n_good = sizes.get(0, 0), sizes.get(1, 0)
+    if not n_bad or not n_good:
+        return -np.inf
+
+    def best(it):
+        parts = [[b.column(c).to_numpy() for c in ("score", "bad", "good")] for b in it if b.num_rows]
+        if not parts:
+            return
+        at, bad, good = map(np.concatenate, zip(*parts, strict=True))
+        order = np.argsort(at)
+        at, step = at[order], (bad * n_good - good * n_bad)[order]
+        # what lies below each score
+        gain = np.cumsum(step) - step
+        k = int(np.argmax(gain))
+        yield pa.RecordBatch.from_pylist([{"first": at[0], "last": at[-1], "all": int(step.sum()), "gain": int(gain[k]), "at": at[k], "before": at[k - 1] if k else None}])
+
+    each_score = found.where("label in (0, 1)").groupBy("score").agg(F.sum(1 - F.col("label")).alias("bad"), F.sum("label").cast("long").alias("good"))
+    ranges = each_score.repartitionByRange("score").mapInArrow(best, "first double, last double, all long, gain long, at double, before double").collect()
+    threshold, most, below, last = -np.inf, None, 0, None
+    for r in sorted(ranges, key=lambda r: r["first"]):
+        if most is None or below + r["gain"] > most:
+            before = last if r["before"] is None else r["before"]
+            most, threshold = below + r["gain"], r["at"] if before is None else (before + r["at"]) / 2
+        below, last = below + r["all"], r["last"]
+    return threshold
+
+
+def _scored(docs: DataFrame, model: Ratio | None) -> DataFrame:
+    """doc_id, the base columns, base_failed, llr of each row of docs."""
 
     def run(it):
         for batch in it:
@@ -166,22 +167,37 @@ def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFra
                     parts[k].append(v)
                 parts["llr"].append(model.scores(w) if model else np.zeros(len(w.bounds) - 1))
             v = {k: np.concatenate([np.zeros(0, np.int64), *x]) for k, x in parts.items()}
-            failed = base_failed(v)
-            kept = ~failed & (v["llr"] >= model.threshold if model else True)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v[k].astype(np.int64)) for k in BASE), pa.array(failed), pa.array(v["llr"].astype(float)), pa.array(kept)], ["doc_id", *BASE, "base_failed", "llr", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v[k].astype(np.int64)) for k in BASE), pa.array(base_failed(v)), pa.array(v["llr"].astype(float))], ["doc_id", *BASE, "base_failed", "llr"])
+
+    return text_of(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{k} long" for k in BASE) + ", base_failed boolean, llr double")
+
+
+def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, the base columns, base_failed, llr, kept.
 
-    return text_of(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{k} long" for k in BASE) + ", base_failed boolean, llr double, kept boolean")
+    Reads ``doc_id`` and ``text`` only, and of labels ``doc_id`` and
+    ``quality``. A null or empty text has no words, fails the base rules and
+    has llr 0. Repeated rows give repeated rows. Without a trusted label the
+    base rules decide alone. An empty table gives an empty result.
+    """
+    model = fit(docs, labels)
+    out = _scored(docs, model)
+    if not model:
+        return out.withColumn("kept", ~F.col("base_failed"))
+    out = cut(out, "scored")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(least_kept(out, labels))))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that quality() keeps; no join: rules and ratio run over the rows themselves."""
-    model = fit(docs, labels, sample)
+    model = fit(docs, labels)
+    threshold = least_kept(_scored(docs, model).select("doc_id", "base_failed", "llr"), labels) if model else -np.inf
 
     def run(it):
         for batch in it:
             kept = []
             for _, _, w in each(batch.column("text")):
-                kept.append(~base_failed(base_counts(w)) & (model.scores(w) >= model.threshold if model else True))
+                kept.append(~base_failed(base_counts(w)) & (model.scores(w) >= threshold if model else True))
             yield batch.filter(pa.array(np.concatenate([np.zeros(0, bool), *kept])))
 
     return docs.mapInArrow(run, docs.schema)

@@ -27,11 +27,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import WHITE, each, sums
-from .quality import labelled
+from .quality import known_labels
 from .shared import cut, text_of
 
 #: Labelled rows of each class that the model is fitted on, at most; the first by a hash of the id.
@@ -190,6 +190,21 @@ def _distinct_windows(known: DataFrame, most: int) -> DataFrame:
     return cut(parts[0].unionByName(parts[1]), "windows", 1)
 
 
+def labelled(docs: DataFrame, labels: DataFrame, column: str, most: int, where: Column) -> DataFrame:
+    """(text, label) of at most ``most`` labelled documents of each class, the first by a hash of the id.
+
+    Contradicting labels of one id count as 0. The ids that are sent to all
+    executors are at most twice ``most``, whatever the input's size.
+    """
+    known = known_labels(labels, column)
+    picked = None
+    for k in (0, 1):
+        part = known.where(F.col("label") == k).where(where).orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(most)
+        picked = part if picked is None else picked.unionByName(part)
+    picked = cut(picked, "picked")
+    return cut(text_of(docs).join(F.broadcast(picked), F.col("doc_id") == F.col("labelled_id")).select("labelled_id", "text", "label"), "labelled")
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = WINDOWS) -> Model:
     """The model of the labelled rows that are not held out.
 
@@ -198,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = WI
     driver gets the dictionaries (at most a few MB) and the features of the
     calibrating rows (at most ``sample`` of a class).
     """
-    known = labelled(docs, labels, "toxic", sample, where=~held_out("labelled_id"))
+    known = labelled(docs, labels, "toxic", sample, ~held_out("labelled_id"))
     place = F.pmod(F.xxhash64("labelled_id", F.lit(7)), F.lit(4))
     known = known.withColumn("fold", place.cast("int"))
     taught = _distinct_windows(known.where("fold < 2"), most)

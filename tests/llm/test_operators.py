@@ -722,6 +722,44 @@ def test_quality_odd(spark, odd, labels):
     assert {r["doc_id"] for r in quality.keep_good(odd, labels).collect()} == again
 
 
+def best_cut(bad, good):
+    """The lowest score that rejects most of bad less good, in the middle of its gap."""
+    at = sorted({*bad, *good})
+    gain = [sum(x < a for x in bad) * len(good) - sum(x < a for x in good) * len(bad) for a in at]
+    k = gain.index(max(gain))
+    return at[k] if k == 0 else (at[k - 1] + at[k]) / 2
+
+
+def test_quality_cut(spark):
+    r = random.Random(5)
+    for n in (1, 7, 300):
+        for worse in (0, 3, 40):
+            rows = [(k, r.randrange(50) + worse * k * 1.0) for _ in range(n) for k in (0, 1)] + [(2, 7.0)]
+            found = spark.createDataFrame(rows, "label int, score double").repartition(3)
+            assert quality.cut_between(found) == best_cut([x for k, x in rows if k == 0], [x for k, x in rows if k == 1])
+    assert quality.cut_between(spark.createDataFrame([(1, 2.0)], "label int, score double")) == -np.inf
+
+
+def test_quality_learns_from_every_label(spark):
+    """With more than 10,000 labelled rows of a class, the ratio and the threshold still rest on all of them."""
+    r = random.Random(11)
+    rows = [(d, " ".join(f"{'jk'[r.random() < (0.3, 0.7)[d % 2]]}{r.randrange(40)}" for _ in range(60))) for d in range(22_000)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    # two in three rows of the class 0 are labelled
+    known = [(d, d % 2) for d, _ in rows if d % 6]
+    out = {x["doc_id"]: x for x in quality.quality(texts, spark.createDataFrame(known, "doc_id long, quality int")).collect()}
+    (_, _, w), = kernel.each(pa.array([t for _, t in rows]), 1 << 30)
+    b, doc = quality._buckets(w)
+    count = lambda b: np.bincount(b, minlength=quality.BUCKETS) + 0.5
+    target, raw = count(b[doc % 2 == 1]), count(b)
+    llr = np.bincount(doc, (np.log(target / target.sum()) - np.log(raw / raw.sum()))[b]) / np.bincount(doc)
+    assert len(out) == len(rows) and np.allclose([out[d]["llr"] for d, _ in rows], llr, rtol=0, atol=1e-12)
+    got = [[out[d]["llr"] for d, q in known if q == k and not out[d]["base_failed"]] for k in (0, 1)]
+    at = np.unique(np.concatenate(got))
+    gain = np.searchsorted(np.sort(got[0]), at) * len(got[1]) - np.searchsorted(np.sort(got[1]), at) * len(got[0])
+    assert all(x["kept"] == (not x["base_failed"] and x["llr"] >= at[np.argmax(gain)]) for x in out.values())
+
+
 # queries
 
 
